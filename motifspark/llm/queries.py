@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, rank_bpe, secret_scan, sharding, simhash, token_store, url_filter
+from . import decontam, quality, rank_bpe, secret_scan, sharding, simhash, token_store, url_filter, wordpiece
 from .common import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def _pattern() -> str:
+def tokenizer_pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
@@ -40,16 +40,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, url_filter.BASE_RULES))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank_bpe.encoding_table(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern())
+    return rank_bpe.encoding_table(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern())
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.write_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")).documents()
+    return token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).documents()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -57,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_secret_scans": op3_secret_scans,
     "op4_simhash": op4_simhash,
+    "op5_token_counts": op5_token_counts,
+    "op6_decontamination": op6_decontamination,
     "op7_url_filters": op7_url_filters,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_output": op9_token_output,
