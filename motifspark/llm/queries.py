@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, rank_bpe, secret_scan, sharding, simhash, token_store, url_filter, wordpiece
+from . import decontam, quality, rank_bpe, secret_scan, sharding, simhash, suffix_dedup, token_store, url_filter, wordpiece
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).documents()
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filters": op7_url_filters,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_output": op9_token_output,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.BASE_RULES)
