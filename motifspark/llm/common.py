@@ -73,11 +73,12 @@ _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 class ChunkMemo:
     """Encodes texts through encode(list of pieces) -> list of bytes, where a text's pieces are cut before each single space
     that stands between two non-space characters. The split patterns of the byte-level tokenizers never match across such a
-    place, so the pieces' codes, joined, are the text's. Codes of short pieces are kept, `limit` of them at most; a full memo
-    is emptied, which changes no result."""
+    place, so the pieces' codes, joined, are the text's. Codes of short pieces are kept, `limit` of them at most: a full memo
+    takes no more, as the first pieces met are mostly the common ones, and is emptied when it has missed many pieces since.
+    Neither changes a result."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000, longest: int = 48):
-        self.encode, self.limit, self.longest = encode, limit, longest
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 600_000, longest: int = 48):
+        self.encode, self.limit, self.longest, self.missed = encode, limit, longest, 0
         self.memo: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
@@ -96,7 +97,11 @@ class ChunkMemo:
         codes = self.encode([first, *(f" {c}" for c in new)])
         own = dict(zip(new, codes[1:], strict=True))
         out = [memo[c] if c in memo else own[c] for c in rest]
-        if len(memo) + len(own) > self.limit:
+        if len(memo) > self.limit:
+            self.missed += len(own)
+            if self.missed < 10 * self.limit:
+                return codes[0] + b"".join(out)
+            self.missed = 0
             memo.clear()
         # only pieces with whole edges may be found again by the plain split on spaces
         memo.update((c, x) for c, x in own.items() if len(c) <= self.longest and not (c[0].isspace() or c[-1].isspace() or " " in c))

@@ -32,14 +32,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class RankBpe:
     """encode() and decode() under a rank table; `pattern` splits a text into pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 600_000):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {r: b for b, r in ranks.items()}
-        # marks of the ranks with entries: one word for 64 ranks, one for 64 such words, one for all of those
-        most = max(ranks.values(), default=0) + 1
-        self.low, self.mid = [0] * ((most >> 6) + 1), [0] * ((most >> 12) + 1)
+        # marks of the ranks with entries: a word of 256 bits for each 256 ranks; merge() has one more for those words
+        self.low = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
         self.pieces: dict[bytes, bytes] = {}
-        self.limit = memo
+        self.limit = memo // 2
         self.texts = ChunkMemo(self._encode_all, memo)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -47,59 +46,62 @@ class RankBpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, get, low, mid, top = len(piece), self.ranks.get, self.low, self.mid, 0
+        n, get, low, top = len(piece), self.ranks.get, self.low, 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # the rank of the pair that starts at each position
+        pair = [get(piece[k : k + 2], -1) for k in range(n - 1)]  # the rank of the pair that starts at each position
+        pair.append(-1)
         buckets: dict[int, list[int]] = {}  # positions by rank, descending: the last is next
-        new = [(k, get(piece[k : k + 2])) for k in range(n - 2, -1, -1)]
-        while True:
-            for k, rank in new:
-                if rank is not None:
-                    pair[k] = rank
-                    if rank in buckets:
-                        bucket = buckets[rank]
-                        if k < bucket[-1]:
-                            bucket.append(k)
-                        else:
-                            insort(bucket, k, key=int.__neg__)
-                    else:
-                        buckets[rank] = [k]
-                        low[rank >> 6] |= 1 << (rank & 63)
-                        mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-                        top |= 1 << (rank >> 12)
-            if not top:
-                break
+        for k in range(n - 2, -1, -1):
+            rank = pair[k]
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(k)
+                else:
+                    buckets[rank] = [k]
+                    low[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+        while top:
             a = (top & -top).bit_length() - 1
-            word = mid[a]
-            b = a << 6 | (word & -word).bit_length() - 1
-            word = low[b]
-            rank = b << 6 | (word & -word).bit_length() - 1
+            word = low[a]
+            bit = word & -word
+            rank = (a << 8) + bit.bit_length() - 1
             bucket = buckets[rank]
             k = bucket.pop()
             if not bucket:
                 del buckets[rank]
-                word &= word - 1
-                low[b] = word
+                word ^= bit
+                low[a] = word
                 if not word:
-                    word = mid[a]
-                    word &= word - 1
-                    mid[a] = word
-                    if not word:
-                        top &= top - 1
+                    top &= top - 1
             if pair[k] != rank:
-                new = ()
                 continue
             gone = after[k]
             end = after[k] = after[gone]
             pair[gone] = pair[k] = -1
-            new = ()
             left = before[k]
             if end < n:
                 before[end] = k
-                new = ((k, get(piece[k : after[end]])),)
+                rank = get(piece[k : after[end]])
+                if rank is not None:
+                    pair[k] = rank
+                    if rank in buckets:
+                        insort(buckets[rank], k, key=int.__neg__)
+                    else:
+                        buckets[rank] = [k]
+                        low[rank >> 8] |= 1 << (rank & 255)
+                        top |= 1 << (rank >> 8)
             if left >= 0:
-                pair[left] = -1
-                new = (*new, (left, get(piece[left:end])))
+                rank = get(piece[left:end])
+                if rank is None:
+                    pair[left] = -1
+                else:
+                    pair[left] = rank
+                    if rank in buckets:
+                        insort(buckets[rank], left, key=int.__neg__)
+                    else:
+                        buckets[rank] = [left]
+                        low[rank >> 8] |= 1 << (rank & 255)
+                        top |= 1 << (rank >> 8)
         ids, k = [], 0
         while k < n:
             ids.append(self.ranks[piece[k : after[k]]])
@@ -109,15 +111,16 @@ class RankBpe:
     def _encode_all(self, pieces: list[str]) -> list[bytes]:
         out, known = [], self.pieces
         for text in pieces:
+            if text[1:].isalpha() and text.isascii() and text[0] == " ":  # one match of the pattern
+                out.append(array("I", self.merge(text.encode())).tobytes())
+                continue
             ids = b""
             for token in self.pattern.findall(text):
                 raw = token.encode("utf-8")
                 code = known.get(raw)
                 if code is None:
                     code = array("I", self.merge(raw)).tobytes()
-                    if len(raw) <= 48:
-                        if len(known) >= self.limit:
-                            known.clear()
+                    if len(raw) <= 48 and len(known) < self.limit:
                         known[raw] = code
                 ids += code
             out.append(ids)
