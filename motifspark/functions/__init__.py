@@ -1,0 +1 @@
+"""Functions on small patterns that Spark has no expressions for."""

@@ -1,0 +1 @@
+"""Operators on graph databases, patterns and embeddings."""

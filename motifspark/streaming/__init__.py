@@ -1,0 +1 @@
+"""Nothing here: mining is over a finished database, so all queries are batch queries."""
