@@ -86,8 +86,8 @@ def read_json(spark: SparkSession, path: str, directed: bool = False, multigraph
     doc = F.from_json("value", "nodes array<map<string,string>>, links array<map<string,string>>")
     graphs = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("graph_id"), doc.alias("d"))
     plain = graphs.select("graph_id", F.posexplode("d.nodes").alias("pos", "n"))
-    whole = plain.groupBy("graph_id").agg(F.bool_and(F.col("n")["id"].cast("bigint").isNotNull()).alias("whole"))
-    plain = plain.join(whole, "graph_id").withColumn("node_id", F.when(F.col("whole"), F.col("n")["id"].cast("bigint")).otherwise(F.col("pos").cast("bigint")))
+    whole = plain.groupBy("graph_id").agg(F.bool_and(F.col("n")["id"].try_cast("bigint").isNotNull()).alias("whole"))
+    plain = plain.join(whole, "graph_id").withColumn("node_id", F.when(F.col("whole"), F.col("n")["id"].try_cast("bigint")).otherwise(F.col("pos").cast("bigint")))
     nodes = plain.select("graph_id", "node_id", F.coalesce(F.from_json(F.col("n")["labels"], "array<string>"), F.array().cast("array<string>")).alias("labels"), F.map_filter("n", lambda k, v: ~k.isin("id", "labels") & v.isNotNull()).alias("props"))
     ids = plain.select("graph_id", F.col("n")["id"].alias("id"), "node_id")
     links = graphs.select("graph_id", F.posexplode("d.links").alias("pos", "l"))
@@ -135,4 +135,4 @@ def parse_patterns(text: str) -> list[tuple[list[list[str]], list[tuple[int, int
 
 def read_templates(spark: SparkSession, path: str) -> list[tuple[list[list[str]], list[tuple[int, int, str]]]]:
     """Templates of a text file, which are few and small: they shape the plan, so the driver reads them."""
-    return [g for (text,) in spark.read.option("wholetext", True).text(path).collect() for g in parse_patterns(text)]
+    return [g for (text,) in spark.read.text(path, wholetext=True).collect() for g in parse_patterns(text)]
