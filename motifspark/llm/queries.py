@@ -78,7 +78,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.BASE_RULES)
+_SIGNALS = " UNION ALL ".join(f"SELECT n, lang, source, base_failed, '{name}' AS signal, CAST({sql.replace(' div ', ' // ')} AS BIGINT) AS v FROM c" for name, (sql, _, _) in quality.SIGNALS.items())
+_TOLERANCES = ", ".join(f"('{name}', {tolerance}, {both})" for name, (_, tolerance, both) in quality.SIGNALS.items())
+_WORD = r"[^\x20\x09-\x0D]"
 ORACLE: dict[str, str] = {
+    "op2_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w FROM documents),
+u AS (SELECT n, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT n, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY n ORDER BY i)),
+r AS (SELECT n, i, count(*) OVER (PARTITION BY n, a, b, c) AS k FROM g WHERE c IS NOT NULL),
+k AS (SELECT n, count(DISTINCT p) AS covered FROM (SELECT n, unnest([i, i + 1, i + 2]) AS p FROM r WHERE k > 1) GROUP BY n),
+l AS (SELECT n, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d),
+b AS (SELECT d.n, doc_id, lang, source, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             coalesce(covered, 0) AS n_repeat_words, len(lines) AS n_lines
+      FROM d JOIN l USING (n) LEFT JOIN k USING (n)),
+c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+s AS ({_SIGNALS}),
+h AS (SELECT *, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END AS bucket FROM s WHERE NOT base_failed),
+m AS (SELECT grouping(lang, source) AS level, lang, source, signal, bucket, count(*) AS k FROM h GROUP BY GROUPING SETS ((lang, source, signal, bucket), (lang, signal, bucket), (signal, bucket))),
+e AS (SELECT *, sum(k) OVER (PARTITION BY level, lang, source, signal ORDER BY bucket) AS upto, sum(k) OVER (PARTITION BY level, lang, source, signal) AS docs,
+             CASE WHEN bucket < 64 THEN bucket ELSE (bucket - (bucket // 32 - 1) * 32) << (bucket // 32 - 1) END AS low_end FROM m),
+q AS (SELECT level, lang, source, signal, max(docs) AS docs, min(CASE WHEN upto * 100 >= docs * {quality.LOW} THEN low_end END) AS low, min(CASE WHEN upto * 100 >= docs * {quality.MIDDLE} THEN low_end END) AS middle
+      FROM e GROUP BY ALL),
+f AS (SELECT q.*, CASE WHEN both_sides THEN middle - greatest(tolerance, {quality.SPREADS} * (middle - low)) ELSE -1 END AS low_fence, middle + greatest(tolerance, {quality.SPREADS} * (middle - low)) AS high_fence
+      FROM q JOIN (VALUES {_TOLERANCES}) AS x(name, tolerance, both_sides) ON signal = name),
+j AS (SELECT s.n, bool_and(v BETWEEN CASE WHEN f0.docs >= {quality.LEAST} THEN f0.low_fence WHEN f1.docs >= {quality.LEAST} THEN f1.low_fence ELSE f2.low_fence END
+                           AND CASE WHEN f0.docs >= {quality.LEAST} THEN f0.high_fence WHEN f1.docs >= {quality.LEAST} THEN f1.high_fence ELSE f2.high_fence END) AS inside
+      FROM s JOIN f f0 ON f0.level = 0 AND f0.lang IS NOT DISTINCT FROM s.lang AND f0.source IS NOT DISTINCT FROM s.source AND f0.signal = s.signal
+             JOIN f f1 ON f1.level = 1 AND f1.lang IS NOT DISTINCT FROM s.lang AND f1.signal = s.signal JOIN f f2 ON f2.level = 3 AND f2.signal = s.signal GROUP BY s.n),
+w AS (SELECT n, max(v) FILTER (WHERE signal = 'symbol_rate') AS symbol_rate, max(v) FILTER (WHERE signal = 'repeat_rate') AS repeat_rate,
+             max(v) FILTER (WHERE signal = 'dup_line_rate') AS dup_line_rate, max(v) FILTER (WHERE signal = 'word_length') AS word_length FROM s GROUP BY n)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, symbol_rate, repeat_rate, dup_line_rate, word_length, NOT base_failed AND coalesce(inside, true) AS kept
+FROM c JOIN w USING (n) LEFT JOIN j USING (n)""",
     "op7_url_filters": f"""
 WITH rules(rhost, rpath, rverdict) AS (VALUES {_RULES}),
 u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
