@@ -82,7 +82,7 @@ def read_csv(spark: SparkSession, path: str, directed: bool = False, nodes_dir:
 def read_json(spark: SparkSession, path: str, directed: bool = False, multigraph: bool = True) -> GraphDB:
     """A directory of node-link files, one graph each, named like its file. Node ids that aren't integers are numbered by
     their order in the file; "labels" (a list) and "type" have their roles, other fields are properties."""
-    files = spark.read.option("wholetext", True).text(f"{path.rstrip('/')}/*.json")
+    files = spark.read.text(f"{path.rstrip('/')}/*.json", wholetext=True)
     doc = F.from_json("value", "nodes array<map<string,string>>, links array<map<string,string>>")
     graphs = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("graph_id"), doc.alias("d"))
     plain = graphs.select("graph_id", F.posexplode("d.nodes").alias("pos", "n"))
