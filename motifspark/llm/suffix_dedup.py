@@ -2,7 +2,7 @@
 
 1. Anchors: in every 50-byte string the 16 bytes with the smallest hash are its anchor, so equal strings have equal anchors.
    Each text gives about one anchor for every 18 bytes; only those that two documents or more share go on.
-2. Segments: around each shared anchor, the at most 84 bytes that all 50-byte strings with it lie in, grouped by the anchor.
+2. Segments: for each shared anchor, the at most 84 bytes that the 50-byte strings it is the anchor of lie in, grouped by it.
 3. Suffix arrays: the different segments of many anchors are joined and sorted in two stages. Suffixes smaller than their
    successors are sorted directly; scans over the buckets of first bytes, in ascending order, induce the rest. Adjacent common
    prefixes of 50 bytes or more then give the classes of equal strings, and a class's smallest id decides who keeps it.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_batch, written
+from .common import broadcast_if_small, by_batch, written
 
 STRING, GRAM = 50, 16
 LAST_ID = (1 << 63) - 1
@@ -41,10 +42,10 @@ def _words(raw: bytes, n: int) -> np.ndarray:
 
 
 def anchors(raw: bytes) -> np.ndarray:
-    """Pairs (hash, place) of the anchors of a text's 50-byte strings, as two rows of int64."""
+    """The anchors of a text's 50-byte strings: hash, first and last place of the strings whose anchor it is, as three rows."""
     grams, span = len(raw) - GRAM + 1, STRING - GRAM + 1
     if len(raw) < STRING:
-        return np.zeros((2, 0), np.int64)
+        return np.zeros((3, 0), np.int64)
     words = _words(raw, grams + 8)
     with np.errstate(over="ignore"):
         x = words[:grams] * np.uint64(0x9E3779B185EBCA87) + words[8 : 8 + grams] * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -60,8 +61,10 @@ def anchors(raw: bytes) -> np.ndarray:
     rest = span - width
     key = np.minimum(key[: len(key) - rest], key[rest:])
     start = np.arange(len(key))
-    place = np.unique(start + ((key & np.uint64(63)).astype(np.int64) - start) % 64)
-    return np.stack([x[place].view(np.int64), place])
+    place = start + ((key & np.uint64(63)).astype(np.int64) - start) % 64
+    cuts = np.flatnonzero(np.diff(place)) + 1
+    first, last = np.concatenate([[0], cuts]), np.append(cuts - 1, len(place) - 1)
+    return np.stack([x[place[first]].view(np.int64), first, last])
 
 
 def suffix_array(text: np.ndarray, depth: int = STRING) -> np.ndarray:
@@ -183,59 +186,83 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield given()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_bytes, spans): each document's bytes and the ascending runs of them that repeat."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = rows.withColumn("rid", F.lit(0).cast("bigint"))
-    else:  # rows of one id are told apart by a number
-        rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "suffix-rows")
-    key = ["doc_id", "rid"]
+def _release(spark) -> None:
+    """Lets Spark delete the shuffle files of finished steps before more are written."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """(doc_id, rid) of rows whose whole text is that of a row with a smaller id."""
+    prints = written(rows.select("doc_id", "rid", F.sha2("text", 256).alias("digest")), "suffix-digests")
+    firsts = prints.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    return written(prints.join(firsts, "digest").where("doc_id > first").select("doc_id", "rid"), "suffix-copies")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(doc_id, rid, at): the anchors, by first place, that rows with different ids have."""
 
     def find(batch: pa.RecordBatch) -> dict[str, list]:
         got = [anchors(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
         n = [x.shape[1] for x in got]
-        whole = np.concatenate(got, axis=1) if got else np.zeros((2, 0), np.int64)
+        whole = np.concatenate(got, axis=1) if got else np.zeros((3, 0), np.int64)
         return {"h": pa.array(whole[0]), "doc_id": pa.array(np.repeat(batch.column(0).to_numpy(), n)), "rid": pa.array(np.repeat(batch.column(1).to_numpy(), n)), "at": pa.array(whole[1].astype(np.int32))}
 
-    marks = by_batch(rows.select(*key, "text"), find, "h bigint, doc_id bigint, rid bigint, at int")
+    marks = by_batch(rows.select("doc_id", "rid", "text"), find, "h bigint, doc_id bigint, rid bigint, at int")
     w = Window.partitionBy("h")
-    shared = marks.withColumns({"a": F.min("doc_id").over(w), "b": F.max("doc_id").over(w)}).where("a < b").select(*key, "at", "h")
-    shared = written(shared, "shared-anchors")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the anchors' shuffle files before more are written
+    return written(marks.withColumns({"a": F.min("doc_id").over(w), "b": F.max("doc_id").over(w)}).where("a < b").select("doc_id", "rid", "at"), "shared-anchors")
 
-    places = shared.groupBy(*key).agg(F.collect_list(F.struct("at", "h")).alias("marks"))
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_copies: int = 1_000_000) -> DataFrame:
+    """(doc_id, text_bytes, spans): each document's bytes and the ascending runs of them that repeat.
+
+    Copies of whole texts repeat throughout and give nothing to others that their first row doesn't, so they are set aside
+    first (by a broadcast of their ids only if there are at most broadcast_copies)."""
+    spark, key = docs.sparkSession, ["doc_id", "rid"]
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("rid", F.lit(0).cast("bigint"))
+    else:  # rows of one id are told apart by a number
+        rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "suffix-rows")
+    copies = _copies(rows)
+    shared = _shared(rows.join(broadcast_if_small(copies, broadcast_copies), key, "left_anti"))
+    _release(spark)
+    places = shared.groupBy(*key).agg(F.collect_list("at").alias("marks"))
 
     def cut(batch: pa.RecordBatch) -> dict[str, list]:
         out = ([], [], [], [], [])
         for doc, rid, text, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            for m in marks:
-                at = max(0, m["at"] + GRAM - STRING)
-                for x, v in zip(out, (m["h"], raw[at : m["at"] + STRING], doc, rid, at), strict=True):
+            found = anchors(raw)
+            for h, first, last in found[:, np.isin(found[1], marks)].T.tolist():
+                for x, v in zip(out, (h, raw[first : last + STRING], doc, rid, first), strict=True):
                     x.append(v)
         return dict(zip("hsdra", out, strict=True))
 
-    segments = by_batch(rows.select(*key, "text").join(places, key).select(*key, "text", "marks"), cut, "h bigint, segment binary, doc_id bigint, rid bigint, at bigint", rows=200)
+    texts = rows.select(*key, "text")
+    segments = by_batch(texts.join(places, key).select(*key, "text", "marks"), cut, "h bigint, segment binary, doc_id bigint, rid bigint, at bigint", rows=200)
     found = segments.repartition("h").sortWithinPartitions("h", "segment", "doc_id").mapInArrow(_compared, "doc_id bigint, rid bigint, low bigint, high bigint")
-    spans = found.groupBy(*key).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    whole = copies.select(*key, F.lit(0).cast("bigint").alias("low"), F.lit(-1).cast("bigint").alias("high"))
+    spans = found.unionAll(whole).groupBy(*key).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
     def merge(batch: pa.RecordBatch) -> dict[str, list]:
-        out = []
-        for spans in batch.column(2).to_pylist():
+        out, raws = [], [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+        for raw, spans in zip(raws, batch.column(2).to_pylist(), strict=True):
             runs: list[dict] = []
             for s in sorted(spans or [], key=lambda s: s["low"]):
+                if s["high"] < 0:  # a copy of a whole text
+                    runs = [{"low": 0, "high": len(raw)}] if len(raw) >= STRING else []
+                    break
                 if runs and s["low"] <= runs[-1]["high"]:
                     runs[-1]["high"] = max(runs[-1]["high"], s["high"])
                 else:
                     runs.append(s)
             out.append(runs)
-        ids = batch.column(0).to_pylist()
-        return {"doc_id": [None if d == LAST_ID else d for d in ids], "text_bytes": [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()], "spans": out}
+        return {"doc_id": [None if d == LAST_ID else d for d in batch.column(0).to_pylist()], "text_bytes": raws, "spans": out}
 
-    joined = rows.select(*key, "text").join(spans, key, "left").select("doc_id", "text", "spans")
+    joined = texts.join(spans, key, "left").select("doc_id", "text", "spans")
     return by_batch(joined, merge, "doc_id bigint, text_bytes binary, spans array<struct<low:bigint,high:bigint>>", rows=500)
 
 
