@@ -70,12 +70,18 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _whole(chunk: str) -> bool:
+    """Whether a chunk is text without white space at its edges, but for one line end before it."""
+    inner = chunk[chunk[:1] == "\n" :]
+    return bool(inner) and not (inner[0].isspace() or inner[-1].isspace())
+
+
 class ChunkMemo:
-    """Encodes texts through encode(list of pieces) -> list of bytes, where a text's pieces are cut before each single space
-    that stands between two non-space characters. The split patterns of the byte-level tokenizers never match across such a
-    place, so the pieces' codes, joined, are the text's. Codes of short pieces are kept, `limit` of them at most: a full memo
-    takes no more, as the first pieces met are mostly the common ones, and is emptied when it has missed many pieces since.
-    Neither changes a result."""
+    """Encodes texts through encode(list of pieces) -> list of bytes, where a text's pieces are cut before each single space,
+    and each single line end, that stands between two non-space characters. The split patterns of the byte-level tokenizers
+    never match across such a place, so the pieces' codes, joined, are the text's. Codes of short pieces are kept, `limit` of
+    them at most: a full memo takes no more, as the first pieces met are mostly the common ones, and is emptied when it has
+    missed many pieces since. Neither changes a result."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 600_000, longest: int = 48):
         self.encode, self.limit, self.longest, self.missed = encode, limit, longest, 0
@@ -85,24 +91,25 @@ class ChunkMemo:
         if not text:
             return b""
         memo = self.memo
-        first, *rest = text.split(" ")
+        # a chunk stands for itself if it begins with a line end, otherwise for a space and itself
+        first, *rest = text.replace("\n", " \n").split(" ")
         out = list(map(memo.get, rest))
-        if None not in out and first and not first[-1].isspace():
-            return self.encode([first])[0] + b"".join(out)
-        missed = {c for c, got in zip(rest, out, strict=True) if got is None}
-        if not first or first[-1].isspace() or any(not c or c[0].isspace() or c[-1].isspace() for c in missed):
+        missed = {c for c, got in zip(rest, out, strict=True) if got is None} if None in out else ()
+        if not _whole(first) or first[0] == "\n" or not all(map(_whole, missed)):
             first, *rest = _BETWEEN.split(text)
-            missed = {c for c in rest if c not in memo}
+            out = list(map(memo.get, rest))
+            missed = {c for c, got in zip(rest, out, strict=True) if got is None}
         new = list(missed)
-        codes = self.encode([first, *(f" {c}" for c in new)])
+        codes = self.encode([first, *(c if c[0] == "\n" else f" {c}" for c in new)])
+        if not new:
+            return codes[0] + b"".join(out)
         own = dict(zip(new, codes[1:], strict=True))
-        out = [memo[c] if c in memo else own[c] for c in rest]
+        out = [own[c] if got is None else got for c, got in zip(rest, out, strict=True)]
         if len(memo) > self.limit:
             self.missed += len(own)
-            if self.missed < 10 * self.limit:
-                return codes[0] + b"".join(out)
-            self.missed = 0
-            memo.clear()
-        # only pieces with whole edges may be found again by the plain split on spaces
-        memo.update((c, x) for c, x in own.items() if len(c) <= self.longest and not (c[0].isspace() or c[-1].isspace() or " " in c))
+            if self.missed > 10 * self.limit:
+                self.missed = 0
+                memo.clear()
+        else:  # only whole chunks, which the plain split may meet again
+            memo.update((c, x) for c, x in own.items() if len(c) <= self.longest and "\n" not in c[1:] and _whole(c))
         return codes[0] + b"".join(out)

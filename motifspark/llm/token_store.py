@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ChunkMemo, shared_folder
+from .common import ChunkMemo, broadcast_if_small, shared_folder
 
 NO_ID = -(1 << 63)
 SHARD_SCHEMA = "part int, shard int, first bigint, last bigint, n_docs int, n_ids bigint, keys binary, payload binary, seeds binary, slots binary"
@@ -127,24 +127,27 @@ class LibraryCoder:
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         line_end = self.library.encode("\n", add_special_tokens=False).ids
-        probe = self.library.encode(" a\n b", add_special_tokens=False).ids
-        self.line_end = line_end[0] if len(line_end) == 1 and probe.count(line_end[0]) == 1 else None
+        probe = self.library.encode(" a\n b\nc", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 and probe.count(line_end[0]) == 2 else None
+        self.line_end_code = np.array(line_end, f"<u{self.width}").tobytes()
         self.texts = ChunkMemo(self.pieces)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, f"<u{self.width}")
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        plain = [p for p in pieces[1:] if p[:1] == " " and not p[-1:].isspace() and "\n" not in p] if self.line_end is not None else []
-        ids = self.ids("\n".join(plain))
-        cuts = np.flatnonzero(ids == self.line_end) if plain else []
-        known = {}
+        lines = [p[p[:1] == "\n" :] for p in pieces]
+        plain = [k for k, x in enumerate(lines) if x.strip() and "\n" not in x and not x[-1].isspace() and not x.removeprefix(" ")[0].isspace()] if self.line_end is not None else []
+        out: list[bytes | None] = [None] * len(pieces)
+        ids = self.ids("\n".join([lines[k] for k in plain]))
+        cuts = np.flatnonzero(ids == self.line_end).tolist()
         if plain and len(cuts) == len(plain) - 1:
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(plain, [*cuts.tolist(), len(ids)], strict=True):
-                known[p] = raw[at * self.width : end * self.width]
+            raw, at, width = ids.tobytes(), 0, self.width
+            for k, end in zip(plain, [*cuts, len(ids)], strict=True):
+                code = raw[at * width : end * width]
+                out[k] = self.line_end_code + code if pieces[k][0] == "\n" else code
                 at = end + 1
-        return [known[p] if p in known else self.ids(p).tobytes() for p in pieces]
+        return [self.ids(p).tobytes() if x is None else x for p, x in zip(pieces, out, strict=True)]
 
 
 _coders: dict[str, LibraryCoder] = {}
@@ -169,7 +172,8 @@ class TokenStore:
         before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
         inside = rows.select("part", "shard", "n_ids").withColumn("inside", F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")).drop("n_ids")
         starts = inside.join(before, "part").select("part", "shard", (F.col("inside") + F.col("before")).alias("start"))
-        return rows.join(starts, ["part", "shard"])
+        # shards are joined with their starts where they are; only with very many of them are their payloads shuffled
+        return rows.join(broadcast_if_small(starts, 1_000_000), ["part", "shard"])
 
     def documents(self) -> DataFrame:
         """(doc_id, start, n_tokens, ids_crc32) of every document, each looked up by its key."""
