@@ -45,6 +45,20 @@ def fitting_edges(db: GraphDB, query: Query, k: int) -> DataFrame:
     return e.where("s = d") if s == d else e.where("s <> d")
 
 
+def edge_counts(db: GraphDB, query: Query) -> dict[int, int]:
+    """How many database edges fit each query edge by type and end labels, for edge_order(): a number for each query edge."""
+    labels, edges = query
+    out = {}
+    for k, (s, d, _) in enumerate(edges):
+        e = fitting_edges(db, query, k)
+        for column, v in (("s", s), ("d", d)):
+            if labels[v]:
+                fit = db.nodes.where(includes(F.col("labels"), F.array(*map(F.lit, labels[v])))).select("graph_id", F.col("node_id").alias(column))
+                e = e.join(fit, ["graph_id", column], "left_semi")
+        out[k] = e.count()
+    return out
+
+
 def vocabulary_filter(db: GraphDB, query: Query) -> DataFrame:
     """(graph_id) of graphs that have every label and edge type of the query."""
     labels, edges = query

@@ -126,8 +126,9 @@ def mine(db: GraphDB, support: float, min_nodes: int = 1, max_nodes: float = flo
     patterns, embeddings = seeds(db, least, templates)
     columns = ["labels", "edges", "code", "pattern_id", "n_nodes"]
     patterns = patterns.select(*columns)
-    bags = written(db.pair_bags(), "pair-bags")
-    inner = written(db.directed_bags(), "inner-bags")
+    bags = written(db.pair_bags(), "pair-bags") if max_nodes > 1 else None
+    inner = None
+    size = max((len(labels) for labels, _ in templates or []), default=1)  # of the level's largest patterns
     seen, kept, kept_embeddings = patterns.select("code"), [], []
     while not patterns.isEmpty():
         # templates may differ in size, so a level can hold patterns that may not grow any more
@@ -153,9 +154,12 @@ def mine(db: GraphDB, support: float, min_nodes: int = 1, max_nodes: float = flo
         trees = trees.select(*columns)
         seen = _union([seen, trees.select("code")])
         next_patterns, next_embeddings = trees, tree_embeddings
-        missing = growth.missing_edges(inner, tree_embeddings, trees, db.directed)
-        closing = written(growth.edge_extensions(missing, least), "edge-extensions")
-        if not closing.isEmpty():
+        size += 1
+        if size >= 3:  # smaller trees have no edges to add
+            inner = inner or written(db.directed_bags(), "inner-bags")
+            missing = growth.missing_edges(inner, tree_embeddings, trees, db.directed)
+            closing = written(growth.edge_extensions(missing, least), "edge-extensions")
+        if size >= 3 and not closing.isEmpty():
             closed = growth.coded(growth.edge_extended(trees, closing), db.directed)
             closed = written(_deduped(closed, seen, ["parent", "group"]).withColumn("n_nodes", F.size("labels")), "closed")
             closed_embeddings = written(growth.edge_grown(missing, closed), "closed-embeddings")
@@ -170,8 +174,8 @@ def mine(db: GraphDB, support: float, min_nodes: int = 1, max_nodes: float = flo
             next_patterns, next_embeddings = _union([trees, closed]), _union([tree_embeddings, closed_embeddings])
         seen = written(seen, "codes")
         patterns, embeddings = written(next_patterns, "patterns"), written(next_embeddings, "embeddings")
-    size = F.col("n_nodes").between(min_nodes, F.lit(float(max_nodes)))
-    all_patterns = _union(kept).where(size) if kept else patterns
+    fits = F.col("n_nodes").between(min_nodes, F.lit(float(max_nodes)))
+    all_patterns = _union(kept).where(fits) if kept else patterns
     all_embeddings = _union(kept_embeddings) if kept_embeddings else embeddings
     all_embeddings = all_embeddings.join(all_patterns.select("pattern_id"), "pattern_id", "left_semi").select("pattern_id", "graph_id", "node_map")
     return Mined(_finished(all_patterns, all_embeddings, db.directed), all_embeddings, db.directed)

@@ -223,3 +223,21 @@ def test_support():
 def test_pattern_text():
     assert parse_patterns("v 0 kind\nv 1\ne 1 0 G\n") == [([["kind"], []], [(1, 0, "G")])]
     assert parse_patterns("t # 1\nv 5 b a\nt # 2\ne 3 9\n") == [([["a", "b"]], []), ([[], []], [(0, 1, "")])]
+
+
+def test_planted_pattern(spark):
+    from motifspark.sources.generate import planted
+
+    square = ([["a"], ["b"], ["c"], ["d"]], [(0, 1, "x"), (1, 2, "x"), (2, 3, "y"), (3, 0, "y")])
+    db = planted(spark, 4, [(*square, [1, 2, 3, 4]), ([["e"], ["a"]], [(0, 1, "z")], [1, 1, 0, 0])])
+    assert matching.match(db, square, counts=matching.edge_counts(db, square)).count() == 10
+    found = {r.code: r for r in mine(db, 1, min_nodes=4, max_nodes=4).patterns.collect()}
+    whole = found[canonical(*square, True)[0]]
+    assert (whole.support, whole.frequency, whole.n_occurrences) == (4, 10, 10)
+
+
+def test_orbits():
+    from motifspark.functions.canonical import orbits
+
+    assert orbits([["r"], ["l"], ["l"]], [(0, 1, "x"), (0, 2, "x")], True) == [[0], [1, 2]]
+    assert orbits([["r"], ["l"], ["l"]], [(0, 1, "x"), (0, 2, "y")], True) == [[0], [1], [2]]
