@@ -118,9 +118,10 @@ def thresholds(rows: DataFrame, lang_col: str, source_col: str, least: int = LEA
     base = written(sketches(rows.select(F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source"), "__base_failed", *(f"__{s}" for s in SIGNALS)), ["__lang", "__source"]), "quality-sketches")
     own = fences(base, ["__lang", "__source"]).alias("o")
     lang = fences(base, ["__lang"]).select(F.col("__lang").alias("l"), F.col("docs").alias("lang_docs"), F.col("fences").alias("lang_fences"))
-    corpus = fences(base.withColumn("__all", F.lit(1)), ["__all"]).select(F.col("fences").alias("all_fences"))
-    chosen = F.when(F.col("docs") >= least, F.col("fences")).when(F.col("lang_docs") >= least, F.col("lang_fences")).otherwise(F.col("all_fences"))
-    return own.join(lang, F.col("__lang").eqNullSafe(F.col("l"))).join(F.broadcast(corpus), F.lit(True)).select("__lang", "__source", chosen.alias("__fences"))
+    corpus = fences(base, []).first()  # one row: four fences
+    all_fences = F.create_map(*(x for s, f in corpus.fences.items() for x in (F.lit(s), F.struct(F.lit(f.low).cast("long").alias("low"), F.lit(f.high).cast("long").alias("high"))))) if corpus and corpus.fences else F.lit(None).cast("map<string,struct<low:bigint,high:bigint>>")
+    chosen = F.when(F.col("docs") >= least, F.col("fences")).when(F.col("lang_docs") >= least, F.col("lang_fences")).otherwise(all_fences)
+    return written(own.join(lang, F.col("__lang").eqNullSafe(F.col("l"))).select("__lang", "__source", chosen.alias("__fences")), "quality-fences")
 
 
 def judged(rows: DataFrame, limits: DataFrame, lang_col: str, source_col: str, broadcast_groups: int = 200_000) -> DataFrame:
@@ -146,5 +147,5 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     """The documents that the rules keep, with their columns. The counts are made twice, for the sketches and for the filter:
     cheaper than to shuffle or to write all texts."""
     narrow = measured(docs, text_col, list(dict.fromkeys([lang_col, source_col])))
-    limits = written(thresholds(narrow, lang_col, source_col, least), "quality-fences")
+    limits = thresholds(narrow, lang_col, source_col, least)
     return judged(measured(docs, text_col), limits, lang_col, source_col).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
