@@ -26,8 +26,8 @@ SYMBOLS = b"#*$%&|<>"
 #: signal: (expression in whole numbers, tolerance, whether low values are rejected too). Rates are per 10,000, lengths per 100.
 SIGNALS = {
     "symbol_rate": ("n_symbols * 10000 div greatest(word_chars, 1)", 300, False),
-    "repeat_rate": ("n_repeat_words * 10000 div greatest(n_words, 1)", 2500, False),
-    "dup_line_rate": ("n_dup_lines * 10000 div greatest(n_lines, 1)", 4000, False),
+    "repeat_rate": ("n_repeat_words * 10000 div greatest(n_words, 1)", 4000, False),
+    "dup_line_rate": ("n_dup_lines * 10000 div greatest(n_lines, 1)", 5000, False),
     "word_length": ("word_chars * 100 div greatest(n_words, 1)", 200, True),
 }
 SPREADS, LEAST, MIDDLE, LOW, HIGH = 6, 100, 50, 10, 90
