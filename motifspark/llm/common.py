@@ -1,10 +1,8 @@
-"""What the corpus operators share: table reading, the shared folder, Arrow batches, a bounded memo."""
+"""What the corpus operators share: table reading, Arrow batches, a bounded memo."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,31 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_own_folder: list[str] = []
-
+from ..storage import shared_folder, written  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests on one machine), a temporary one."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="motifspark-"))
-    return _own_folder[0]
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows, counted now; otherwise df, for a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
