@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .storage import written
+
 NODES = "graph_id string, node_id bigint, labels array<string>, props map<string,string>"
 EDGES = "graph_id string, src bigint, dst bigint, key int, type string, props map<string,string>"
 NO_PROPS = "cast(map() as map<string,string>)"
@@ -45,6 +47,10 @@ class GraphDB:
     def count(self) -> int:
         return self.nodes.select("graph_id").distinct().count()
 
+    def stored(self) -> GraphDB:
+        """The database as tables in the shared folder, for plans that read it more than once."""
+        return GraphDB(written(self.nodes, "nodes"), written(self.edges, "edges"), self.directed)
+
     def persist(self) -> GraphDB:
         return GraphDB(self.nodes.persist(), self.edges.persist(), self.directed)
 
@@ -63,9 +69,9 @@ def with_keys(edges: DataFrame, *order) -> DataFrame:
     return edges.withColumn("key", F.row_number().over(Window.partitionBy("graph_id", "src", "dst").orderBy(*order)) - 1)
 
 
-def graph_db(nodes: DataFrame, edges: DataFrame, directed: bool = False) -> GraphDB:
+def graph_db(nodes: DataFrame, edges: DataFrame, directed: bool = False, complete: bool = False) -> GraphDB:
     """A database from tables that may lack key and props: labels are sorted, ends without a node row become nodes without
-    labels, missing types become ''."""
+    labels (unless the node table is known to be complete), missing types become ''."""
     if "props" not in nodes.columns:
         nodes = nodes.withColumn("props", F.expr(NO_PROPS))
     if "props" not in edges.columns:
@@ -75,6 +81,8 @@ def graph_db(nodes: DataFrame, edges: DataFrame, directed: bool = False) -> Grap
         edges = with_keys(edges, "type")
     own = nodes.select(F.col("graph_id").cast("string"), F.col("node_id").cast("bigint"), F.array_sort(F.coalesce("labels", F.array().cast("array<string>"))).alias("labels"), "props")
     edges = edges.select(F.col("graph_id").cast("string"), F.col("src").cast("bigint"), F.col("dst").cast("bigint"), F.col("key").cast("int"), "type", "props")
+    if complete:
+        return GraphDB(own, edges, directed)
     ends = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     implied = ends.join(own, ["graph_id", "node_id"], "left_anti").select("graph_id", "node_id", F.expr("cast(array() as array<string>)").alias("labels"), F.expr(NO_PROPS).alias("props"))
     return GraphDB(own.unionByName(implied), edges, directed)

@@ -128,7 +128,7 @@ def self_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(TYPES + """
 SELECT g AS graph_id, s AS src, d AS dst, count(*) AS edges FROM e WHERE s IN (0, 1, 2) AND d IN (0, 1, 2) GROUP BY ALL""")
 def induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = views.event_type(spark, sf_dir)
+    db = views.event_type(spark, sf_dir).stored()
     return access.induced(db, db.nodes.where("node_id < 3").select("graph_id", "node_id")).edges.groupBy("graph_id", "src", "dst").agg(F.count("*").alias("edges"))
 
 
@@ -140,7 +140,7 @@ z AS (SELECT g, a, count(*) k FROM n GROUP BY ALL)
 SELECT p.g AS graph_id, p.a, p.b, round(coalesce(i.k, 0) / greatest(1, coalesce(x.k, 0) + coalesce(y.k, 0) - coalesce(i.k, 0)), 6) AS similarity
 FROM p LEFT JOIN i ON i.g = p.g AND i.a = p.a AND i.b = p.b LEFT JOIN z x ON x.g = p.g AND x.a = p.a LEFT JOIN z y ON y.g = p.g AND y.a = p.b""")
 def jaccard_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = views.event_type(spark, sf_dir)
+    db = views.event_type(spark, sf_dir).stored()
     a = db.nodes.select("graph_id", F.col("node_id").alias("a"))
     pairs = a.join(db.nodes.select("graph_id", F.col("node_id").alias("b")), "graph_id").where("a < b")
     return access.jaccard(db, pairs).withColumn("similarity", F.round("similarity", 6))
@@ -160,7 +160,7 @@ p AS (SELECT g, least(s, d) u, greatest(s, d) v, t, s < d ahead FROM e WHERE s <
 SELECT g AS graph_id, u, p.v, ku.x AS label_u, kv.x AS label_v, coalesce(string_agg(DISTINCT t, ',' ORDER BY t) FILTER (WHERE NOT ahead), '') AS t_in, coalesce(string_agg(DISTINCT t, ',' ORDER BY t) FILTER (WHERE ahead), '') AS t_out
 FROM p JOIN k ku ON ku.n = u JOIN k kv ON kv.n = p.v GROUP BY ALL""")
 def pair_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = matching.pair_profile(views.event_type(spark, sf_dir))
+    p = matching.pair_profile(views.event_type(spark, sf_dir).stored())
     return p.select("graph_id", "u", "v", *(F.array_join(c, ",").alias(n) for c, n in (("labels_u", "label_u"), ("labels_v", "label_v"), ("t_in", "t_in"), ("t_out", "t_out"))))
 
 
@@ -186,32 +186,32 @@ def _bag_patterns(db: GraphDB) -> DataFrame:
 
 @registered(_BAGS)
 def two_node_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bag_patterns(views.trade(spark, sf_dir))
+    return _bag_patterns(views.trade(spark, sf_dir).stored())
 
 
 @registered(_BAGS)
 def two_node_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bag_patterns(views.trade(spark, sf_dir, directed=False))
+    return _bag_patterns(views.trade(spark, sf_dir, directed=False).stored())
 
 
 @registered(STEPS + _paths_sql("g", 0.4, 3))
 def path3_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(views.event_path(spark, sf_dir), 0.4, 3, 3)
+    return _paths(views.event_path(spark, sf_dir).stored(), 0.4, 3, 3)
 
 
 @registered(STEPS + _paths_sql("g", 0.1, 4))
 def path4_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(views.event_path(spark, sf_dir), 0.1, 4, 4)
+    return _paths(views.event_path(spark, sf_dir).stored(), 0.1, 4, 4)
 
 
 @registered(TURNS + _paths_sql("g", 0.2, 3))
 def dialogue_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(views.dialogue(spark, sf_dir), 0.2, 3, 3)
+    return _paths(views.dialogue(spark, sf_dir).stored(), 0.2, 3, 3)
 
 
 @registered(STEPS + " UNION ALL ".join(_paths_sql("g", 0.4, n) for n in (1, 2, 3)))
 def mine_all_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(views.event_path(spark, sf_dir), 0.4, 1, 3)
+    return _paths(views.event_path(spark, sf_dir).stored(), 0.4, 1, 3)
 
 
 @registered(STEPS + f""",
@@ -219,14 +219,14 @@ p1 AS ({_paths_sql("g", 0.4, 1)}), p2 AS ({_paths_sql("g", 0.4, 2)}), p3 AS ({_p
 SELECT * FROM p3 UNION ALL SELECT * FROM p2 WHERE NOT EXISTS (SELECT 1 FROM p3 WHERE starts_with(p3.path, p2.path || '>') OR ends_with(p3.path, '>' || p2.path))
 UNION ALL SELECT * FROM p1 WHERE NOT EXISTS (SELECT 1 FROM p2 WHERE starts_with(p2.path, p1.path || '>') OR ends_with(p2.path, '>' || p1.path))""")
 def mine_maximum_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(views.event_path(spark, sf_dir), 0.4, 1, 3, "maximum")
+    return _paths(views.event_path(spark, sf_dir).stored(), 0.4, 1, 3, "maximum")
 
 
 @registered(STEPS + """,
 f AS (SELECT a, b FROM s WHERE b IS NOT NULL GROUP BY a, b HAVING count(DISTINCT g) >= greatest(1, floor(0.4 * (SELECT count(DISTINCT g) FROM s))))
 SELECT s.a || '>' || s.b AS path, g AS graph_id, count(*) AS frequency FROM s JOIN f USING (a, b) GROUP BY ALL""")
 def per_graph_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mine(views.event_path(spark, sf_dir), 0.4, 2, 2)
+    found = mine(views.event_path(spark, sf_dir).stored(), 0.4, 2, 2)
     names = found.patterns.select("pattern_id", _path(F.col("labels"), F.col("edges"), 2).alias("path"))
     return growth.per_graph(found.embeddings).join(names, "pattern_id").select("path", "graph_id", "frequency")
 
@@ -235,7 +235,7 @@ def per_graph_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a AS label_0, b AS label_1, count(DISTINCT g) AS support, count(*) * CASE WHEN a = b THEN 2 ELSE 1 END AS frequency, count(*) AS n_occurrences
 FROM (SELECT g, least(a, b) a, greatest(a, b) b FROM s WHERE b IS NOT NULL) GROUP BY a, b HAVING count(DISTINCT g) >= 2""")
 def symmetric_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = views.event_path(spark, sf_dir)
+    path = views.event_path(spark, sf_dir).stored()
     found = mine(GraphDB(path.nodes, path.edges, False), 2, 2, 2).patterns
     names = F.array_sort(F.flatten("labels"))
     return found.select(F.get(names, F.lit(0)).alias("label_0"), F.get(names, F.lit(1)).alias("label_1"), "support", "frequency", "n_occurrences")
@@ -244,7 +244,7 @@ def symmetric_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(ORDER + """
 SELECT p AS priority, st AS status, b AS brand, count(DISTINCT g) AS support, count(DISTINCT (g, part)) AS frequency FROM l WHERE t = 'R' GROUP BY ALL HAVING count(DISTINCT g) >= 2""")
 def template_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mine(views.order(spark, sf_dir), 2, 2, 2, templates=[([[], []], [(0, 1, "R")])]).patterns
+    found = mine(views.order(spark, sf_dir).stored(), 2, 2, 2, templates=[([[], []], [(0, 1, "R")])]).patterns
     head = F.get("labels", F.get("edges", F.lit(0))["src"])
     tail = F.get("labels", F.get("edges", F.lit(0))["dst"])
     return found.select(F.get(head, F.lit(0)).alias("priority"), F.get(head, F.lit(1)).alias("status"), F.get(tail, F.lit(0)).alias("brand"), "support", "frequency")
@@ -256,7 +256,7 @@ p AS (SELECT t.g, n0, n1, n2, i, j, CASE i WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2
 m AS (SELECT p.g, n0, n1, n2, i, j, count(*) - max(CASE WHEN j = i + 1 THEN 1 ELSE 0 END) k FROM p JOIN e ON e.g = p.g AND e.s = u AND e.d = w GROUP BY ALL)
 SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, count(*) AS embeddings, CAST(sum(k) AS BIGINT) AS missing FROM m WHERE k > 0 GROUP BY i, j""")
 def edge_extension_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = views.event_type(spark, sf_dir)
+    db = views.event_type(spark, sf_dir).stored()
     found = matching.match(db, ([[], [], []], [(0, 1, "same"), (1, 2, "same")]), symmetric=True).select(F.lit(1).cast("bigint").alias("pattern_id"), "graph_id", "node_map").distinct()
     pattern = spark.createDataFrame([(1, [(0, 1, "same"), (1, 2, "same")])], f"pattern_id bigint, edges {growth.EDGE_LIST}")
     missing = growth.missing_edges(db.directed_bags(), found, pattern, True)
@@ -266,7 +266,7 @@ def edge_extension_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code of every observed bag of edges between two labelled nodes."""
-    db = views.trade(spark, sf_dir)
+    db = views.trade(spark, sf_dir).stored()
     near = db.pair_bags().join(db.nodes.select("graph_id", F.col("node_id").alias("u"), F.col("labels").alias("own")), ["graph_id", "u"])
     drafts = near.select(F.array("own", "labels").alias("labels"), F.transform("bag", lambda x: F.struct(F.when(x.startswith("+"), 0).otherwise(1).alias("src"), F.when(x.startswith("+"), 1).otherwise(0).alias("dst"), F.regexp_replace(F.substring(x, 2, 1 << 30), r"#\d+$", "").alias("type"))).alias("edges")).distinct()
     return growth.coded(drafts, True).groupBy("code").agg(F.count("*").alias("drafts"))
@@ -275,7 +275,7 @@ def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def pattern_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mined patterns as text, with the graphs they are in."""
-    return writers.format_patterns(mine(views.dialogue(spark, sf_dir), 0.5, 1, 2), with_frequencies=True)
+    return writers.format_patterns(mine(views.dialogue(spark, sf_dir).stored(), 0.5, 1, 2), with_frequencies=True)
 
 
 # --- matching
@@ -284,14 +284,14 @@ def pattern_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(TRADE + """
 SELECT x.g AS graph_id, count(*) AS occurrences FROM e x JOIN e y ON x.g = y.g AND x.s = y.s AND x.d < y.d WHERE x.sl = 'BUILDING' AND x.t = 'R' AND y.t = 'R' GROUP BY x.g""")
 def star_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.match(views.trade(spark, sf_dir), ([["BUILDING"], [], []], [(0, 1, "R"), (0, 2, "R")]))
+    found = matching.match(views.trade(spark, sf_dir).stored(), ([["BUILDING"], [], []], [(0, 1, "R"), (0, 2, "R")]))
     return found.groupBy("graph_id").agg(F.count("*").alias("occurrences"))
 
 
 @registered(ORDER + """
 SELECT x.t AS type, x.b AS brand, count(*) AS occurrences FROM l x JOIN l y ON x.g = y.g AND x.part = y.part WHERE x.p = '1-URGENT' GROUP BY ALL""")
 def wildcard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = views.order(spark, sf_dir)
+    db = views.order(spark, sf_dir).stored()
     found = matching.match(db, ([["1-URGENT"], [], ["supplier"]], [(0, 1, ""), (1, 2, "supplied_by")]))
     brand = F.get(F.get("labels", F.lit(1)), F.lit(0))
     return matching.with_labels(db, found, 3).groupBy(F.get("types", F.lit(0)).alias("type"), brand.alias("brand")).agg(F.count("*").alias("occurrences"))
@@ -307,7 +307,7 @@ def label_containment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 n AS (SELECT g, s, d, count(*) k FROM e WHERE t = 'R' AND sl = 'BUILDING' GROUP BY ALL)
 SELECT g AS graph_id, s AS customer, d AS part, CAST(k * (k - 1) // 2 AS BIGINT) AS occurrences FROM n WHERE k > 1""")
 def parallel_edge_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.match(views.trade(spark, sf_dir), ([["BUILDING"], []], [(0, 1, "R"), (0, 1, "R")]))
+    found = matching.match(views.trade(spark, sf_dir).stored(), ([["BUILDING"], []], [(0, 1, "R"), (0, 1, "R")]))
     return found.groupBy("graph_id", F.get("node_map", F.lit(0)).alias("customer"), F.get("node_map", F.lit(1)).alias("part")).agg(F.count("*").alias("occurrences"))
 
 
@@ -315,7 +315,7 @@ def parallel_edge_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT x.g AS graph_id, x.s AS n0, x.d AS n1, y.d AS n2, count(*) AS occurrences FROM e x JOIN e y ON x.g = y.g AND x.d = y.s JOIN e z ON z.g = x.g AND z.s = y.d AND z.d = x.s
 WHERE x.t = 'same' AND y.t = 'same' AND z.t = 'same' AND x.s < x.d AND x.s < y.d AND x.d <> y.d GROUP BY ALL""")
 def cycle_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.match(views.event_type(spark, sf_dir), ([[], [], []], [(0, 1, "same"), (1, 2, "same"), (2, 0, "same")]))
+    found = matching.match(views.event_type(spark, sf_dir).stored(), ([[], [], []], [(0, 1, "same"), (1, 2, "same"), (2, 0, "same")]))
     return found.groupBy("graph_id", *(F.get("node_map", F.lit(k)).alias(f"n{k}") for k in range(3))).agg(F.count("*").alias("occurrences"))
 
 
@@ -323,17 +323,17 @@ def cycle_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(0 AS INTEGER) AS node, g AS graph_id, count(*) AS candidates FROM (SELECT g, s FROM e WHERE t = 'R' AND sl = 'BUILDING' GROUP BY g, s HAVING count(*) >= 2) GROUP BY g
 UNION ALL SELECT i, g, count(DISTINCT d) FROM e, (VALUES (1), (2)) x(i) WHERE t = 'R' GROUP BY i, g""")
 def degree_filter_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    domain = matching.degree_domain(views.trade(spark, sf_dir), ([["BUILDING"], [], []], [(0, 1, "R"), (0, 2, "R")]))
+    domain = matching.degree_domain(views.trade(spark, sf_dir).stored(), ([["BUILDING"], [], []], [(0, 1, "R"), (0, 2, "R")]))
     return domain.groupBy("node", "graph_id").agg(F.count("*").alias("candidates"))
 
 
 @registered(TYPES + """
 SELECT CAST(0 AS INTEGER) AS q_i, CAST(1 AS INTEGER) AS q_j, g AS graph_id, s AS t_i, d AS t_j FROM e WHERE t = 'same' AND s <> d GROUP BY g, s, d""")
 def pair_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.pair_domain(views.event_type(spark, sf_dir), ([[], []], [(0, 1, "same")]))
+    return matching.pair_domain(views.event_type(spark, sf_dir).stored(), ([[], []], [(0, 1, "same")]))
 
 
 @registered(ORDER + """
 SELECT g AS graph_id FROM l GROUP BY g HAVING bool_or(p = '1-URGENT') AND bool_or(b = 'Brand#11') AND bool_or(t = 'R')""")
 def vocabulary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.vocabulary_filter(views.order(spark, sf_dir), ([["1-URGENT"], ["Brand#11"]], [(0, 1, "R")]))
+    return matching.vocabulary_filter(views.order(spark, sf_dir).stored(), ([["1-URGENT"], ["Brand#11"]], [(0, 1, "R")]))

@@ -24,7 +24,7 @@ def trade(spark: SparkSession, sf_dir: str, directed: bool = True) -> GraphDB:
     )
     ends = F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.array("a").alias("labels")), F.struct(F.col("dst").alias("node_id"), F.array("b").alias("labels"))))
     nodes = lines.select("graph_id", ends.alias("n")).select("graph_id", "n.node_id", "n.labels").distinct()
-    return graph_db(nodes, lines.select("graph_id", "src", "dst", "type"), directed)
+    return graph_db(nodes, lines.select("graph_id", "src", "dst", "type"), directed, complete=True)
 
 
 def order(spark: SparkSession, sf_dir: str) -> GraphDB:
@@ -38,7 +38,7 @@ def order(spark: SparkSession, sf_dir: str) -> GraphDB:
     edge = lambda s, d, k: F.struct(s.alias("src"), d.alias("dst"), k.alias("type"))
     n = F.explode(F.array(node(zero, F.array("o_orderpriority", "o_orderstatus")), node(part, F.array("p_brand")), node(supplier, F.array(F.lit("supplier")))))
     e = F.explode(F.array(edge(zero, part, F.col("l_returnflag")), edge(part, supplier, F.lit("supplied_by"))))
-    return graph_db(lines.select(g, n.alias("n")).select("graph_id", "n.*").distinct(), lines.select(g, e.alias("e")).select("graph_id", "e.*"), True)
+    return graph_db(lines.select(g, n.alias("n")).select("graph_id", "n.*").distinct(), lines.select(g, e.alias("e")).select("graph_id", "e.*"), True, complete=True)
 
 
 def _steps(spark: SparkSession, sf_dir: str):
@@ -52,7 +52,7 @@ def event_path(spark: SparkSession, sf_dir: str) -> GraphDB:
     s = _steps(spark, sf_dir)
     nodes = s.select(F.col("user_id").cast("string").alias("graph_id"), F.col("event_id").alias("node_id"), F.array("event_type").alias("labels"))
     edges = s.where("next_id IS NOT NULL").select(F.col("user_id").cast("string").alias("graph_id"), F.col("event_id").alias("src"), F.col("next_id").alias("dst"), F.lit("next").alias("type"))
-    return graph_db(nodes, edges, True)
+    return graph_db(nodes, edges, True, complete=True)
 
 
 
@@ -65,7 +65,7 @@ def event_type(spark: SparkSession, sf_dir: str) -> GraphDB:
     own = s.join(ids("event_type", "src"), "event_type")
     nodes = own.select(F.col("user_id").cast("string").alias("graph_id"), F.col("src").alias("node_id"), F.array("event_type").alias("labels")).distinct()
     edges = own.join(ids("next_type", "dst"), "next_type").select(F.col("user_id").cast("string").alias("graph_id"), "src", "dst", F.when(F.to_date("ts") == F.to_date("next_ts"), "same").otherwise("later").alias("type"))
-    return graph_db(nodes, edges, True)
+    return graph_db(nodes, edges, True, complete=True)
 
 
 def dialogue(spark: SparkSession, sf_dir: str) -> GraphDB:
@@ -73,4 +73,4 @@ def dialogue(spark: SparkSession, sf_dir: str) -> GraphDB:
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("graph_id"), "turn", "role", F.lead("turn").over(w).alias("next"))
     nodes = t.select("graph_id", F.col("turn").alias("node_id"), F.array("role").alias("labels"))
-    return graph_db(nodes, t.where("next IS NOT NULL").select("graph_id", F.col("turn").alias("src"), F.col("next").alias("dst"), F.lit("reply").alias("type")), True)
+    return graph_db(nodes, t.where("next IS NOT NULL").select("graph_id", F.col("turn").alias("src"), F.col("next").alias("dst"), F.lit("reply").alias("type")), True, complete=True)
