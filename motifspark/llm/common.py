@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..storage import shared_folder, written  # noqa: F401
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
