@@ -32,7 +32,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class RankBpe:
     """encode() and decode() under a rank table; `pattern` splits a text into pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 400_000):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {r: b for b, r in ranks.items()}
         # marks of the ranks with entries: a word of 256 bits for each 256 ranks; merge() has one more for those words
@@ -143,14 +143,16 @@ def bpe(path: str, pattern: str) -> RankBpe:
     return _bpe[path, pattern]
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids as binary. path: the rank file, which every executor must have."""
+def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): the ids as binary; with decoded also text_bytes, what the ids decode to, by the same Python worker. path:
+    the rank file, which every executor must have."""
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         coder = bpe(path, pattern)
-        return {"doc_id": batch.column(0), "ids": [coder.encode(t) for t in batch.column(1).to_pylist()]}
+        ids = [coder.encode(t) for t in batch.column(1).to_pylist()]
+        return {"doc_id": batch.column(0), "ids": ids} | ({"text_bytes": [coder.decode(x) for x in ids]} if decoded else {})
 
-    return by_batch(docs.select(id_col, text_col), run, with_fields(docs.select(F.col(id_col).alias("doc_id")), "ids binary"), rows=500)
+    return by_batch(docs.select(id_col, text_col), run, with_fields(docs.select(F.col(id_col).alias("doc_id")), "ids binary, text_bytes binary" if decoded else "ids binary"), rows=500)
 
 
 def decode_ids(coded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -167,5 +169,5 @@ def decode_ids(coded: DataFrame, path: str, pattern: str, ids_col: str = "ids")
 
 def encoding_table(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (of the bytes that the ids decode to)."""
-    out = decode_ids(encode_texts(docs, path, pattern, id_col, text_col), path, pattern)
+    out = encode_texts(docs, path, pattern, id_col, text_col, decoded=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text_bytes", 256).alias("decoded_sha256"))

@@ -404,6 +404,8 @@ def test_byte_bpe(docs, rows, library, odd, empty):
         ids = np.array(library.encode_ordinary(t or ""), "<u4")
         assert (found[d]["n_tokens"], found[d]["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert found[d]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    again = rank_bpe.decode_ids(rank_bpe.encode_texts(docs, RANKS, P.PATTERN), RANKS, P.PATTERN)
+    assert {r.doc_id: bytes(r.text_bytes) for r in again.collect()} == {d: (t or "").encode() for d, t, *_ in rows}
     assert rank_bpe.encoding_table(odd, RANKS, P.PATTERN).count() == 6 and rank_bpe.encoding_table(empty, RANKS, P.PATTERN).count() == 0
 
 
