@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batch, with_fields, written
+from .similar import similar
 
 #: Blocks of the embedding in segments of two bits: together 32.
 BLOCKS, NEAR = (5, 5, 5, 5, 6, 6), 3
@@ -116,11 +117,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id, with the columns of docs. Rows are told apart
-    by id and text; of rows that are equal in both, one stays. Documents without id come after all others."""
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id, with the columns of docs. Near-duplicates are
+    connected by pairs of Jaccard similarity 0.8 or more over `width`-word shingles, all of which similar() finds; no small
+    Hamming radius covers them, as two such fingerprints differ by about 10 bits and often more. Rows are told apart by id and text; of rows that are equal in both, one stays. Documents without id come after all others."""
     key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
-    found = written(near_duplicates(docs.select(key.alias("__key"), F.col(text_col).alias("__text")), "__key", "__text", width), "near-duplicates")
+    found = written(similar(docs.select(key.alias("__key"), F.col(text_col).alias("__text")), components, "__key", "__text", width), "near-duplicates")
     kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("__rows"))
     out = docs.withColumn("__key", key).join(kept, "__key", "left_semi")
     if not kept.where("__rows > 1").isEmpty():
