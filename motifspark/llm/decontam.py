@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-grams of the test items are seeds that join training passages to items, and
+"""Benchmark decontamination: the n-grams of the test items are seeds that join training passages to items, and
 Smith-Waterman alignment of words scores the candidates, so edited and paraphrased copies are found as well as exact ones.
 
-Two passes over the texts, neither of which shuffles them. The first counts, over all documents, in how many each n-gram of the
-items occurs. An item's seeds are those of its n-grams that are rare by its own measure (at most 4 times the lower quartile of
-its n-grams' counts, plus 10), so an item that leaked into very many documents keeps its seeds, and n-grams of common words
-are none. The second pass aligns each item with the words around its seeds, unless the words in common already rule out the
-score asked for.
+One pass over the texts, which does not shuffle them. Every n-gram of an item is a seed, however many documents have it, so
+an item is found wherever a passage of the score asked for has an n-gram in common with it. What keeps n-grams of common words
+cheap is a bound that loses nothing: an alignment of m matches and e errors has at most e + 1 runs of matches, so at least
+m - 2 (e + 1) of its 3-grams are seeds. Its score m - e is thus at most half of (words in common + seeds hit + 2), and only
+windows in which that reaches the score are aligned.
 
-Items come to the executors in blocks of a bounded number of words, one pair of passes a block, so a benchmark of any size is
+Items come to the executors in blocks of a bounded number of words, one pass a block, so a benchmark of any size is
 searched. Defined cases: null texts and items are empty; items with fewer words than an n-gram are not searched for; repeated
 items and documents give their rows each; empty tables give an empty result.
 """
@@ -47,10 +47,15 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 
 
 class Matcher:
-    """Finds items in texts. seeds: n-gram -> [(item, position)]."""
-
-    def __init__(self, items: list[list[str]], seeds: dict[tuple, list[tuple[int, int]]], score: float):
-        self.items, self.seeds, self.score = items, seeds, score
+    """Finds items in texts. seeds: n-gram -> [(item, position)], all n-grams of all items."""
+
+    def __init__(self, items: list[list[str]], score: float):
+        self.items, self.score = items, score
+        seeds: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+        for k, x in enumerate(items):
+            for at, gram in enumerate(zip(*(x[j:] for j in range(GRAM)), strict=False)):
+                seeds[gram].append((k, at))
+        self.seeds = dict(seeds)
         self.ids = [dict(zip(dict.fromkeys(x), range(len(x)), strict=False)) for x in items]
         self.codes = [np.array([d[w] for w in x]) for d, x in zip(self.ids, items, strict=True)]
         self.counts = [Counter(x) for x in items]
@@ -63,7 +68,7 @@ class Matcher:
             found = get(gram)
             if found:
                 for item, place in found:
-                    hits[item].append(at - place)
+                    hits[item].append((at - place, place))
         out = []
         for item, starts in sorted(hits.items()):
             n = len(self.items[item])
@@ -72,13 +77,14 @@ class Matcher:
             low = 0
             while low < len(starts):
                 high = low
-                while high + 1 < len(starts) and starts[high + 1] - starts[high] <= 2 * n:
+                while high + 1 < len(starts) and starts[high + 1][0] - starts[high][0] <= 2 * n:
                     high += 1
-                a, b = max(0, starts[low] - n // 2), min(len(words), starts[high] + n + n // 2)
+                a, b = max(0, starts[low][0] - n // 2), min(len(words), starts[high][0] + n + n // 2)
+                seeds = len({place for _, place in starts[low : high + 1]})
                 low = high + 1
                 window = words[a:b]
-                common = self.counts[item] & Counter(window)
-                if common.total() < need:
+                common = (self.counts[item] & Counter(window)).total()
+                if common < need or (GRAM - 2) * common + seeds + GRAM - 1 < (GRAM - 1) * need:
                     continue
                 ids = self.ids[item]
                 coded = np.array([ids.get(w, -1) for w in window])
@@ -101,40 +107,12 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_words: int):
         yield [r.id for r in rows], [words_of(r.text) for r in rows]
 
 
-def matcher(docs: DataFrame, items: list[list[str]], text_col: str, score: float) -> Matcher:
-    """Counts the items' n-grams over all documents, and keeps the rare ones as seeds."""
-    grams: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-    for k, x in enumerate(items):
-        for at, gram in enumerate(zip(*(x[j:] for j in range(GRAM)), strict=False)):
-            grams[gram].append((k, at))
-    number = {g: k for k, g in enumerate(grams)}
-
-    def count(batch: pa.RecordBatch) -> dict[str, list]:
-        seen: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            words = words_of(text)
-            seen.update({number[g] for g in zip(*(words[k:] for k in range(GRAM)), strict=False) if g in number})
-        return {"gram": list(seen), "n": list(seen.values())}
-
-    rows = by_batch(docs.select(text_col), count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # a row for each n-gram of the block at most
-    often = {r.gram: r.n for r in rows}
-    seeds = defaultdict(list)
-    for k, x in enumerate(items):
-        own = [(often.get(number[g], 0), at, g) for at, g in enumerate(zip(*(x[j:] for j in range(GRAM)), strict=False))]
-        if own:
-            limit = 4 * sorted(n for n, _, _ in own)[len(own) // 4] + 10
-            for n, at, g in own:
-                if n <= limit:
-                    seeds[g].append((k, at))
-    return Matcher(items, dict(seeds), score)
-
-
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", score: float = SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word), a row for each item found in a document."""
     out, spark = None, docs.sparkSession
     ids_kind = items.schema[item_id_col].dataType.simpleString()
     for ids, texts in blocks(items, item_id_col, item_text_col, block_words):
-        search = matcher(docs, texts, text_col, score)
+        search = Matcher(texts, score)
 
         def find(batch: pa.RecordBatch, ids=ids, search=search) -> dict[str, list]:
             found = [(k, *x) for k, t in enumerate(batch.column(1).to_pylist()) for x in search.find(t)]
@@ -153,7 +131,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     for k, (_, texts) in enumerate(blocks(items, item_id_col, item_text_col, block_words)):
         if k:
             left = written(left, "decontaminated")
-        search = matcher(left, texts, text_col, score)
+        search = Matcher(texts, score)
 
         def keep(batch: pa.RecordBatch, search=search) -> pa.RecordBatch:
             return batch.filter(pa.array([not search.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
