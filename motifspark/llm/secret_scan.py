@@ -20,13 +20,19 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, with_fields
 
+#: A private key from its BEGIN to its END line, with the header lines of encrypted ones; the BEGIN line alone where no END follows.
+_PEM = (
+    r"-----BEGIN\x20(RSA\x20|EC\x20|OPENSSH\x20)?PRIVATE\x20KEY-----"
+    r"([\r\n\t\x20]*(Proc-Type:\x20[0-9]+,ENCRYPTED[\r\n\t\x20]+DEK-Info:\x20[A-Z0-9-]+,[0-9A-Fa-f]+)?"
+    r"[A-Za-z0-9+/=\r\n\t\x20\\]*-----END\x20(RSA\x20|EC\x20|OPENSSH\x20)?PRIVATE\x20KEY-----)?"
+)
 #: Rules in order: kind, regex, fewest characters of the whole match, fewest of the part behind the last [:=] and quote.
 #: The first three are the base kinds, the rest the method's own.
 RULES = [
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 0, 6),
     ("access", r"AKIA[A-Z0-9]+", 20, 0),
     ("hex", r"[0-9a-f]{24,}", 24, 0),
-    ("pem", r"-----BEGIN\x20(RSA\x20|EC\x20|OPENSSH\x20)?PRIVATE\x20KEY-----", 0, 0),
+    ("pem", _PEM, 0, 0),
     ("github", r"gh[pousr]_[A-Za-z0-9]+", 24, 0),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15, 0),
 ]
