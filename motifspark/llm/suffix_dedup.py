@@ -1,70 +1,115 @@
 """Suffix-array dedup: bytes covered by a 50-byte string that also starts in a document with a smaller id are removed.
 
 1. Anchors: in every 50-byte string the 16 bytes with the smallest hash are its anchor, so equal strings have equal anchors.
-   Each text gives about one anchor for every 18 bytes; only those that two documents or more share go on.
-2. Segments: for each shared anchor, the at most 84 bytes that the 50-byte strings it is the anchor of lie in, grouped by it.
-3. Suffix arrays: the different segments of many anchors are joined and sorted in two stages. Suffixes smaller than their
-   successors are sorted directly; scans over the buckets of first bytes, in ascending order, induce the rest. Adjacent common
-   prefixes of 50 bytes or more then give the classes of equal strings, and a class's smallest id decides who keeps it.
-4. The spans found are merged for each document and cut out of its text.
-
-Segments that are equal are collapsed while they stream in, so a hot passage takes memory for its variants only. All shuffles
-are on anchors or on document ids; an anchor, however hot, is in a document's rows only as often as in its text.
+   Each text gives about one anchor for every 18 bytes. Grams that many texts hold are taken only by strings that hold no
+   others, so the strings at the edges of a hot passage spread over the grams of what stands around it.
+2. Sharing: anchors are dealt out by hash in packed arrays; those that documents with different ids hold go on. Anchors on hot
+   grams are known to be shared and are not dealt out.
+3. Segments: for each shared anchor, the at most 84 bytes that the 50-byte strings it is the anchor of lie in. Equal segments
+   of a batch of documents are collapsed before the shuffle: all but those of the smallest id repeat throughout.
+4. Suffix arrays: the different segments of the anchors that have more than one are sorted in two stages. Suffixes smaller than
+   their successors are sorted directly; scans over the buckets of first bytes, in ascending order, induce the rest. The common
+   prefixes of adjacent suffixes are computed, runs of 50 bytes or more are equal strings, and the smallest id keeps them.
+5. The spans found are merged for each document and cut out of its text.
+
+An anchor with more different segments than one array should hold has its strings dealt out by a hash of their 50 bytes, in as
+many passes as needed, so memory is bounded by the segments themselves. Which grams count as hot is estimated from a bounded
+sample; this decides where strings are compared, never what is found.
 
 Defined cases: a null text is an empty one; documents with a null id come after all others; rows with equal ids are never
-smaller than each other, so they keep what they share; texts shorter than a string keep all.
+smaller than each other, so they keep what they share; texts shorter than a string keep all; an empty table gives an empty
+result; columns of docs other than the two named are ignored. A task needs about 100 bytes for each byte of its longest text
+or 1 MB, whichever is more, as anchors are made for 1 MB of strings at a time.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, by_batch, written
+from .common import broadcast_if_small, by_batch, discard, written
 
 STRING, GRAM = 50, 16
+SPAN = STRING - GRAM + 1
+#: Bytes of a segment at most, and the width of the rows that segments are kept in: room for one more, in whole words.
+SEGMENT, ROW = STRING + SPAN - 1, 88
 LAST_ID = (1 << 63) - 1
-#: Bytes of segments that one suffix array is made of, at least.
+#: Bytes of segments that one suffix array is made of, about.
 CHUNK = 1_500_000
+#: String starts that anchors are made for at a time.
+WINDOW = 1 << 20
+#: Documents looked at for hot grams, and the share of them that holds a hot one.
+SAMPLE, HOT_SHARE = 2000, 0.01
+_MIX = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
+
+
+class HotGrams:
+    """The sorted hashes of hot grams, behind a table of their leading bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes.astype(np.uint64))
+        self.leading = np.zeros(1 << 20, bool)
+        self.leading[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def among(self, x: np.ndarray) -> np.ndarray:
+        """Places in x of hot grams."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64)
+        at = np.flatnonzero(self.leading[(x >> np.uint64(44)).astype(np.int64)])
+        near = np.minimum(np.searchsorted(self.hashes, x[at]), len(self.hashes) - 1)
+        return at[self.hashes[near] == x[at]]
 
 
-def _words(raw: bytes, n: int) -> np.ndarray:
-    """The 8-byte words that start at each of the first n bytes. raw must be 8 bytes longer."""
-    return np.ndarray((n,), "<u8", raw, 0, (1,))
+NOTHING_HOT = HotGrams(np.zeros(0, np.uint64))
 
 
-def anchors(raw: bytes) -> np.ndarray:
-    """The anchors of a text's 50-byte strings: hash, first and last place of the strings whose anchor it is, as three rows."""
-    grams, span = len(raw) - GRAM + 1, STRING - GRAM + 1
-    if len(raw) < STRING:
-        return np.zeros((3, 0), np.int64)
-    words = _words(raw, grams + 8)
+def gram_hashes(buffer: bytes, low: int, grams: int) -> np.ndarray:
+    """63-bit hashes of the grams that start at `grams` places from `low` on; the last six bits are zero."""
+    words = np.ndarray((grams + 8,), "<u8", buffer, low, (1,))
     with np.errstate(over="ignore"):
-        x = words[:grams] * np.uint64(0x9E3779B185EBCA87) + words[8 : 8 + grams] * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = words[:grams] * _MIX[0] + words[8:] * _MIX[1]
         x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
+        x *= _MIX[2]
         x ^= x >> np.uint64(29)
-    # the smallest of each run of `span`, by doubling; the low bits carry the place
-    key = x & ~np.uint64(63) | np.arange(grams, dtype=np.uint64) & np.uint64(63)
-    width = 1
-    while width * 2 <= span:
-        key = np.minimum(key[:-width], key[width:])
-        width *= 2
-    rest = span - width
-    key = np.minimum(key[: len(key) - rest], key[rest:])
-    start = np.arange(len(key))
-    place = start + ((key & np.uint64(63)).astype(np.int64) - start) % 64
-    cuts = np.flatnonzero(np.diff(place)) + 1
-    first, last = np.concatenate([[0], cuts]), np.append(cuts - 1, len(place) - 1)
-    return np.stack([x[place[first]].view(np.int64), first, last])
+    return (x >> np.uint64(1)) & ~np.uint64(63)
+
+
+def anchors(raws: list[bytes], hot: HotGrams = NOTHING_HOT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of the texts' 50-byte strings: row of the text, hash, first and last place in it of the strings whose anchor
+    it is. Hashes of hot grams are negative, which puts them behind all others."""
+    sizes = np.array([len(r) for r in raws], np.int64)
+    ends = np.cumsum(sizes)
+    buffer, total = b"".join(raws), int(ends[-1]) if len(raws) else 0
+    found = []
+    for low in range(0, total - STRING + 1, WINDOW):
+        n = min(WINDOW, total - STRING + 1 - low)
+        key = gram_hashes(buffer, low, n + SPAN - 1)
+        key[hot.among(key)] |= np.uint64(1 << 63)
+        key |= np.arange(len(key), dtype=np.uint64) & np.uint64(63)  # the low bits carry the place
+        width = 1
+        while width * 2 <= SPAN:  # the smallest of each run of SPAN, by doubling
+            key = np.minimum(key[:-width], key[width:])
+            width *= 2
+        key = np.minimum(key[:n], key[SPAN - width : SPAN - width + n])
+        # strings may not cross the end of a text
+        step = np.zeros(n + 1, np.int32)
+        a, b = np.searchsorted(ends, low), np.searchsorted(ends, low + n + STRING)
+        own = ends[a : b + 1]
+        np.add.at(step, np.clip(np.maximum(own - STRING + 1, own - sizes[a : b + 1]) - low, 0, n), 1)
+        np.add.at(step, np.clip(own - low, 0, n), -1)
+        inside = np.cumsum(step[:n]) == 0
+        change = np.diff(key) != 0
+        first = np.flatnonzero(inside & np.concatenate([[True], change | ~inside[:-1]]))
+        last = np.flatnonzero(inside & np.concatenate([change | ~inside[1:], [True]]))
+        row = np.searchsorted(ends, first + low, "right")
+        begin = ends[row] - sizes[row] - low
+        found.append((row, (key[first] & ~np.uint64(63)).view(np.int64), first - begin, last - begin))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
 
 
 def suffix_array(text: np.ndarray, depth: int = STRING) -> np.ndarray:
@@ -107,112 +152,270 @@ def suffix_array(text: np.ndarray, depth: int = STRING) -> np.ndarray:
     return np.concatenate(out)
 
 
-def repeated(segments: list[bytes], owners: np.ndarray, groups: np.ndarray) -> list[np.ndarray]:
-    """For each segment the places of its 50-byte strings that also start in a segment of the same group with a smaller owner."""
-    sizes = np.array([len(s) for s in segments])
-    text = np.frombuffer(b"\xff".join([*segments, b""]), np.uint8)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    of = np.repeat(np.arange(len(segments)), sizes + 1)
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = STRING) -> np.ndarray:
+    """How many bytes each suffix of `order` has in common with the one before it, counted up to `most`; 0 for the first."""
+    words = np.ndarray((len(text) + most,), "<u8", text.tobytes() + bytes(most + 8), 0, (1,))
+    out = np.zeros(len(order), np.int64)
+    open_ = np.arange(1, len(order))
+    for done in range(0, most, 8):
+        differ = words[order[open_] + done] ^ words[order[open_ - 1] + done]
+        low = differ & (~differ + np.uint64(1))
+        out[open_] = done + np.where(differ == 0, 8, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64) // 8)
+        open_ = open_[differ == 0]
+    return np.minimum(out, most)
+
+
+class Segments:
+    """Segments in rows: anchor k, bytes (zeros behind the length), length, document, its row id, place in it."""
+
+    def __init__(self, k, rows, length, doc, rid, at):
+        self.columns = k, rows, length, doc, rid, at
+        self.k, self.rows, self.length, self.doc, self.rid, self.at = self.columns
+
+    def __len__(self) -> int:
+        return len(self.k)
+
+    def take(self, places: np.ndarray) -> Segments:
+        return Segments(*(x[places] for x in self.columns))
+
+    @staticmethod
+    def joined(parts: list[Segments]) -> Segments:
+        return parts[0] if len(parts) == 1 else Segments(*(np.concatenate(x) for x in zip(*(p.columns for p in parts), strict=True)))
+
+    @staticmethod
+    def cut(k, buffer: np.ndarray, begin: np.ndarray, length: np.ndarray, doc, rid, at) -> Segments:
+        """From the places `begin` of a buffer that goes on for ROW bytes behind the last segment's start."""
+        rows = np.lib.stride_tricks.as_strided(buffer, (max(len(buffer) - ROW + 1, 0), ROW), (1, 1))[begin]
+        rows[np.arange(ROW) >= length[:, None]] = 0
+        return Segments(k, rows, length, doc, rid, at)
+
+    def order(self) -> tuple[np.ndarray, np.ndarray]:
+        """An order in which equal segments stand together, by document, and whether each equals the one before it."""
+        words = self.rows.view(np.uint64)
+        with np.errstate(over="ignore"):
+            h = self.k.view(np.uint64) * _MIX[0] + self.length.astype(np.uint64)
+            for c in range(words.shape[1]):
+                h = (h ^ (h >> np.uint64(31))) * _MIX[1] + words[:, c]
+            h = (h ^ (h >> np.uint64(32))) * _MIX[2]
+        order = np.lexsort((self.doc, h))
+        same = np.zeros(len(order), bool)
+        near = np.flatnonzero(np.diff(h[order]) == 0) + 1
+        a, b = order[near], order[near - 1]
+        same[near] = (words[a] == words[b]).all(1) & (self.length[a] == self.length[b]) & (self.k[a] == self.k[b])
+        return order, same
+
+    def collapsed(self) -> tuple[Segments, Segments]:
+        """Those of the smallest document that has them, by anchor; and the others, which repeat throughout."""
+        order, same = self.order()
+        if not len(order):
+            return self, self
+        first = np.flatnonzero(~same)
+        least = np.repeat(self.doc[order[first]], np.diff(np.append(first, len(order))))
+        repeats = self.doc[order] > least
+        heads = order[~repeats]
+        return self.take(heads[np.argsort(self.k[heads], kind="stable")]), self.take(order[repeats])
+
+
+def repeated(s: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """Segments and places in them at which 50-byte strings start that also start in a segment of a smaller document."""
+    rows = s.rows.copy()
+    rows[np.arange(len(s)), s.length] = 0xFF  # no byte of UTF-8
+    text = rows[np.arange(ROW) <= s.length[:, None]]
+    starts = np.concatenate([[0], np.cumsum(s.length + 1)[:-1]])
+    of = np.repeat(np.arange(len(s)), s.length + 1)
     order = suffix_array(text)
-    inside = np.arange(len(text)) - starts[of] + STRING <= sizes[of]
-    order = order[inside[order]]
+    order = order[np.arange(len(text))[order] - starts[of[order]] + STRING <= s.length[of[order]]]
     if not len(order):
-        return [np.zeros(0, np.int64)] * len(segments)
-    words = _words(text.tobytes() + bytes(STRING + 8), len(text) + STRING)
-    same = np.ones(len(order) - 1, bool)
-    for k in (*range(0, STRING - 8, 8), STRING - 8):
-        w = words[order + k]
-        same &= w[1:] == w[:-1]
-    owner, group = owners[of[order]], groups[of[order]]
-    first = np.flatnonzero(np.concatenate([[True], ~same]))
-    # a class may span groups: the smallest owner counts within each (any owner of an equal string may decide, so all do)
+        return (np.zeros(0, np.int64),) * 2
+    owner = s.doc[of[order]]
+    first = np.flatnonzero(common_prefixes(text, order) < STRING)
+    # a class may span anchors' segments: any smaller owner of an equal string decides
     least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(order))))
-    found = order[least < owner]
-    found = found[np.argsort(of[found], kind="stable")]
-    cuts = np.searchsorted(of[found], np.arange(1, len(segments)))
-    return np.split(found - starts[of[found]], cuts)
-
-
-def _spans(places: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that the strings at these places cover."""
-    if not len(places):
-        return []
-    places = np.unique(places)
-    cuts = np.flatnonzero(np.diff(places) > STRING) + 1
-    return [(int(p[0]), int(p[-1]) + STRING) for p in np.split(places, cuts)]
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by (anchor, segment, id) -> spans (doc_id, rid, low, high)."""
-    segments, owners, groups, heads, size = [], [], [], [], 0
-    out: list[tuple[int, int, int, int]] = []
-    last_h = last = None
-
-    def flush() -> None:
-        nonlocal segments, owners, groups, heads, size
-        if segments:
-            ranks = np.unique(np.array(owners, np.int64), return_inverse=True)[1]
-            for found, members in zip(repeated(segments, ranks, np.array(groups)), heads, strict=True):
-                for low, high in _spans(found):
-                    out.extend((d, r, at + low, at + high) for d, r, at in members)
-        segments, owners, groups, heads, size = [], [], [], [], 0
-
-    def given() -> pa.RecordBatch:
-        got = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "rid", "low", "high"])
-        out.clear()
-        return got
-
+    found = np.sort(order[least < owner])
+    return of[found], found - starts[of[found]]
+
+
+def _dealt(s: Segments, chunk: int) -> Iterator[tuple[Segments, np.ndarray]]:
+    """The 50-byte strings of the segments, dealt out by a hash of them: parts of about `chunk` bytes with, for each string, the
+    segment it comes from. Equal strings are in the same part."""
+    passes = int(s.length.sum()) * STRING // chunk + 1
+    for p in range(passes):
+        took, at = [], []
+        for j in range(SPAN):
+            rows = np.flatnonzero(s.length >= STRING + j)
+            words = np.ascontiguousarray(s.rows[rows, j : j + STRING])
+            h = np.zeros(len(rows), np.uint64)
+            with np.errstate(over="ignore"):
+                for c in (*range(0, STRING - 8, 8), STRING - 8):
+                    h = (h ^ (h >> np.uint64(29))) * _MIX[1] + words[:, c : c + 8].copy().view(np.uint64)[:, 0]
+                h = (h ^ (h >> np.uint64(32))) * _MIX[2]
+            own = rows[(h >> np.uint64(20)) % np.uint64(passes) == p]
+            took.append(own)
+            at.append(np.full(len(own), j))
+        took, at = np.concatenate(took), np.concatenate(at)
+        flat = np.concatenate([s.rows.reshape(-1), np.zeros(ROW, np.uint8)])
+        yield Segments.cut(s.k[took], flat, took * ROW + at, np.full(len(took), STRING), s.doc[took], s.rid[took], at), took
+
+
+def _merged(doc, rid, low, high) -> tuple[np.ndarray, ...]:
+    """The runs that spans cover, where spans of one row that begin later don't end earlier."""
+    order = np.lexsort((low, rid, doc))
+    doc, rid, low, high = doc[order], rid[order], low[order], high[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]) | (low[1:] > high[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1 if len(first) else first
+    return doc[first], rid[first], low[first], high[last]
+
+
+def spans_of(s: Segments, chunk: int = CHUNK) -> tuple[np.ndarray, ...]:
+    """(doc, rid, low, high) of what repeats in segments that are sorted by anchor and collapsed."""
+    several = np.zeros(len(s), bool)  # an anchor with one segment, or one document, has nothing more to find
+    if len(s) > 1:
+        first = np.flatnonzero(np.concatenate([[True], np.diff(s.k) != 0]))
+        least, most = np.minimum.reduceat(s.doc, first), np.maximum.reduceat(s.doc, first)
+        several = np.repeat(least < most, np.diff(np.append(first, len(s))))
+    s = s.take(np.flatnonzero(several))
+    found = []
+    if int(s.length.sum()) <= 4 * chunk:
+        found.append(repeated(s) if len(s) else (np.zeros(0, np.int64),) * 2)
+    else:
+        for part, took in _dealt(s, chunk):
+            if len(part):
+                which, _ = repeated(part)
+                found.append((took[which], part.at[which]))
+    of, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    at = s.at[of] + place
+    return _merged(s.doc[of], s.rid[of], at, at + STRING)
+
+
+def _compared(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Rows of segments sorted by anchor (k, segment, doc_id, rid, low, high) -> spans (doc_id, rid, low, high). Rows without a
+    segment are spans already."""
+
+    def given(doc, rid, low, high) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, rid, low, high)], names=["doc_id", "rid", "low", "high"])
+
+    def whole(s: Segments) -> pa.RecordBatch:
+        return given(*_merged(s.doc, s.rid, s.at, s.at + s.length))
+
+    held: list[Segments] = []
+    size, limit = 0, chunk
     for batch in batches:
-        for h, segment, doc, rid, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if h != last_h:
-                if size >= CHUNK:
-                    flush()
-                last_h, last = h, None
-            if segment != last:
-                last = segment
-                segments.append(segment)
-                owners.append(doc)
-                groups.append(h)
-                heads.append([(doc, rid, at)])
-                size += len(segment)
-            elif doc == owners[-1]:
-                heads[-1].append((doc, rid, at))
-            elif len(segment) >= STRING:  # the same segment in a larger document: all of it repeats
-                out.append((doc, rid, at, at + len(segment)))
-            if len(out) >= 100_000:
-                yield given()
-    flush()
-    if out:
-        yield given()
-
-
-def _release(spark) -> None:
-    """Lets Spark delete the shuffle files of finished steps before more are written."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def _copies(rows: DataFrame) -> DataFrame:
-    """(doc_id, rid) of rows whose whole text is that of a row with a smaller id."""
+        ready = np.asarray(batch.column(1).is_null())
+        if ready.any():
+            yield given(*(batch.column(k).to_numpy()[ready] for k in range(2, 6)))
+        if ready.all():
+            continue
+        got = batch.filter(pa.array(~ready))
+        k, doc, rid, low = (got.column(c).to_numpy() for c in (0, 2, 3, 4))
+        segments = got.column(1)
+        offsets = np.frombuffer(segments.buffers()[1], np.int32, len(segments) + 1, segments.offset * 4).astype(np.int64)
+        data = np.concatenate([np.frombuffer(segments.buffers()[2], np.uint8)[: offsets[-1]], np.zeros(ROW, np.uint8)])
+        held.append(Segments.cut(k, data, offsets[:-1], np.diff(offsets), doc, rid, low))
+        size += int(offsets[-1] - offsets[0])
+        if size < limit:
+            continue
+        heads, others = Segments.joined(held).collapsed()
+        if len(others):
+            yield whole(others)
+        last = int(np.searchsorted(heads.k, heads.k[-1]))  # more of the last anchor may follow
+        if last:
+            yield given(*spans_of(heads.take(np.arange(last)), chunk))
+            heads = heads.take(np.arange(last, len(heads)))
+        held, size = [heads], int(heads.length.sum())
+        limit = max(chunk, 2 * size)
+    if held:
+        heads, others = Segments.joined(held).collapsed()
+        yield whole(others)
+        yield given(*spans_of(heads, chunk))
+
+
+def _copies(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, rid) of rows whose whole text is that of a row with a smaller id, and the number of rows."""
     prints = written(rows.select("doc_id", "rid", F.sha2("text", 256).alias("digest")), "suffix-digests")
     firsts = prints.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    return written(prints.join(firsts, "digest").where("doc_id > first").select("doc_id", "rid"), "suffix-copies")
-
-
-def _shared(rows: DataFrame) -> DataFrame:
-    """(doc_id, rid, at): the anchors, by first place, that rows with different ids have."""
-
-    def find(batch: pa.RecordBatch) -> dict[str, list]:
-        got = [anchors(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
-        n = [x.shape[1] for x in got]
-        whole = np.concatenate(got, axis=1) if got else np.zeros((3, 0), np.int64)
-        return {"h": pa.array(whole[0]), "doc_id": pa.array(np.repeat(batch.column(0).to_numpy(), n)), "rid": pa.array(np.repeat(batch.column(1).to_numpy(), n)), "at": pa.array(whole[1].astype(np.int32))}
-
-    marks = by_batch(rows.select("doc_id", "rid", "text"), find, "h bigint, doc_id bigint, rid bigint, at int")
-    w = Window.partitionBy("h")
-    return written(marks.withColumns({"a": F.min("doc_id").over(w), "b": F.max("doc_id").over(w)}).where("a < b").select("doc_id", "rid", "at"), "shared-anchors")
+    copies = written(prints.join(firsts, "digest").where("doc_id > first").select("doc_id", "rid"), "suffix-copies")
+    n = prints.count()
+    discard(prints)
+    return copies, n
+
+
+def hot_grams(rows: DataFrame, n: int) -> HotGrams:
+    """Grams that at least HOT_SHARE of about SAMPLE texts hold; the texts are chosen by the ids' hash. At most as many as the
+    sample's bytes / (SAMPLE * HOT_SHARE)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.uint64)]
+        texts = 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                raw = t.encode("utf-8", "surrogatepass")
+                texts += 1
+                if len(raw) >= STRING:
+                    held.append(np.unique(gram_hashes(raw, 0, len(raw) - GRAM + 1)))
+        grams, times = np.unique(np.concatenate(held), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(grams[times >= max(8, HOT_SHARE * texts)].view(np.int64))], names=["gram"])
+
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "rid"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
+    return HotGrams(some.repartition(1).mapInArrow(count, "gram bigint").toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
+
+
+def _binaries(columns: list[np.ndarray], cuts: np.ndarray) -> list[pa.Array]:
+    """Arrays cut at the same places, as binary columns."""
+    return [pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x in columns]
+
+
+def _marks(h: np.ndarray) -> np.ndarray:
+    """32 bits of anchors' hashes, by which a document finds its shared ones again: a wrong one costs a comparison only."""
+    return (h >> 6).astype(np.int32)
+
+
+def _shared(rows: DataFrame, hot: HotGrams) -> DataFrame:
+    """(doc_id, rid, mark): the anchors that rows with different ids have. Each batch of documents sends an array of its anchors
+    to each bucket of hashes; anchors on hot grams go along unseen, to a bucket of the batch's choice."""
+    buckets = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def find(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        row, h, _, _ = anchors([t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()], hot)
+        if not len(row):
+            return None
+        order = np.lexsort((row, h))
+        row, h = row[order], h[order]
+        once = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(row) != 0)])
+        row, h = row[once], h[once]
+        doc, rid = (batch.column(k).to_numpy()[row] for k in (0, 1))
+        bucket = np.where(h < 0, buckets + doc[0] % buckets, (h >> 32) * buckets >> 31).astype(np.int32)
+        cuts = np.append(np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1]), len(h))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *_binaries([h, doc, rid], cuts)], names=["bucket", "h", "doc_id", "rid"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        current = None
+
+        def done() -> pa.RecordBatch:
+            h, doc, rid = (np.frombuffer(b"".join(x), "<i8") for x in zip(*held, strict=True))
+            if current < buckets:
+                order = np.argsort(h, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+                many = np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)
+                places = order[np.repeat(many, np.diff(np.append(first, len(order))))]
+                h, doc, rid = h[places], doc[places], rid[places]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, rid, _marks(h))], names=["doc_id", "rid", "mark"])
+
+        for batch in batches:
+            for bucket, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (bucket != current or bucket >= buckets):
+                    yield done()
+                current = bucket
+                held.append(parts)
+        if held:
+            yield done()
+
+    marks = by_batch(rows.select("doc_id", "rid", "text"), find, "bucket int, h binary, doc_id binary, rid binary")
+    dealt = marks.repartition("bucket").sortWithinPartitions("bucket")
+    return written(dealt.mapInArrow(compare, "doc_id bigint, rid bigint, mark int"), "shared-anchors")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_copies: int = 1_000_000) -> DataFrame:
@@ -220,32 +423,47 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Copies of whole texts repeat throughout and give nothing to others that their first row doesn't, so they are set aside
     first (by a broadcast of their ids only if there are at most broadcast_copies)."""
-    spark, key = docs.sparkSession, ["doc_id", "rid"]
+    key = ["doc_id", "rid"]
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         rows = rows.withColumn("rid", F.lit(0).cast("bigint"))
     else:  # rows of one id are told apart by a number
         rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "suffix-rows")
-    copies = _copies(rows)
-    shared = _shared(rows.join(broadcast_if_small(copies, broadcast_copies), key, "left_anti"))
-    _release(spark)
-    places = shared.groupBy(*key).agg(F.collect_list("at").alias("marks"))
+    copies, n = _copies(rows)
+    single = rows.join(broadcast_if_small(copies, broadcast_copies), key, "left_anti")
+    hot = hot_grams(single, n)
+    shared = _shared(single, hot)
+    places = shared.groupBy(*key).agg(F.collect_list("mark").alias("marks"))
 
     def cut(batch: pa.RecordBatch) -> dict[str, list]:
-        out = ([], [], [], [], [])
-        for doc, rid, text, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
-            found = anchors(raw)
-            for h, first, last in found[:, np.isin(found[1], marks)].T.tolist():
-                for x, v in zip(out, (h, raw[first : last + STRING], doc, rid, first), strict=True):
-                    x.append(v)
-        return dict(zip("hsdra", out, strict=True))
+        batch = batch.take(np.argsort(batch.column(0).to_numpy(), kind="stable"))
+        docs_, rids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        raws = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+        row, h, first, last = anchors(raws, hot)
+        marks = batch.column(3)
+        marked = np.repeat(np.arange(len(raws)), np.diff(marks.offsets.to_numpy())) << 32 | marks.flatten().to_numpy().view(np.uint32)
+        keep = np.flatnonzero(np.isin(row << 32 | _marks(h).view(np.uint32), marked))
+        row, h, first, length = row[keep], h[keep], first[keep], last[keep] - first[keep] + STRING
+        begins = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
+        buffer = np.frombuffer(b"".join([*raws, bytes(ROW)]), np.uint8)
+        s, others = Segments.cut(h, buffer, begins[row] + first, length, docs_[row], rids[row], first).collapsed()
+        doc, rid, low, high = _merged(others.doc, others.rid, others.at, others.at + others.length)
+        cuts = np.concatenate([[0], np.cumsum(s.length)]).astype(np.int32)
+        text = pa.py_buffer(s.rows[np.arange(ROW) < s.length[:, None]])
+        segments = pa.BinaryArray.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(cuts), text])
+        with np.errstate(over="ignore"):
+            spread = (doc.view(np.uint64) * _MIX[2]).view(np.int64)
+        return {
+            "k": pa.array(np.concatenate([s.k, spread])), "segment": pa.concat_arrays([segments, pa.nulls(len(doc), pa.binary())]), "doc_id": pa.array(np.concatenate([s.doc, doc])),
+            "rid": pa.array(np.concatenate([s.rid, rid])), "low": pa.array(np.concatenate([s.at, low])), "high": pa.array(np.concatenate([s.at + s.length, high])),
+        }
 
     texts = rows.select(*key, "text")
-    segments = by_batch(texts.join(places, key).select(*key, "text", "marks"), cut, "h bigint, segment binary, doc_id bigint, rid bigint, at bigint", rows=200)
-    found = segments.repartition("h").sortWithinPartitions("h", "segment", "doc_id").mapInArrow(_compared, "doc_id bigint, rid bigint, low bigint, high bigint")
+    segments = by_batch(texts.join(places, key).select(*key, "text", "marks"), cut, "k bigint, segment binary, doc_id bigint, rid bigint, low bigint, high bigint", rows=1000)
+    found = segments.repartition("k").sortWithinPartitions("k").mapInArrow(_compared, "doc_id bigint, rid bigint, low bigint, high bigint")
     whole = copies.select(*key, F.lit(0).cast("bigint").alias("low"), F.lit(-1).cast("bigint").alias("high"))
-    spans = found.unionAll(whole).groupBy(*key).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    spans = written(found.unionAll(whole).groupBy(*key).agg(F.collect_list(F.struct("low", "high")).alias("spans")), "suffix-spans")
+    discard(shared)
 
     def merge(batch: pa.RecordBatch) -> dict[str, list]:
         out, raws = [], [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
