@@ -166,11 +166,13 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = STRING) ->
 
 
 class Segments:
-    """Segments in rows: anchor k, bytes (zeros behind the length), length, document, its row id, place in it."""
+    """Segments in rows: anchor k, bytes (zeros behind the length), length, document, its row id, first place in it, and all its
+    other places there, as the bytes of whole numbers (None: it has none)."""
 
-    def __init__(self, k, rows, length, doc, rid, at):
-        self.columns = k, rows, length, doc, rid, at
-        self.k, self.rows, self.length, self.doc, self.rid, self.at = self.columns
+    def __init__(self, k, rows, length, doc, rid, at, more=None):
+        more = np.full(len(k), None, object) if more is None else more
+        self.columns = k, rows, length, doc, rid, at, more
+        self.k, self.rows, self.length, self.doc, self.rid, self.at, self.more = self.columns
 
     def __len__(self) -> int:
         return len(self.k)
@@ -183,11 +185,11 @@ class Segments:
         return parts[0] if len(parts) == 1 else Segments(*(np.concatenate(x) for x in zip(*(p.columns for p in parts), strict=True)))
 
     @staticmethod
-    def cut(k, buffer: np.ndarray, begin: np.ndarray, length: np.ndarray, doc, rid, at) -> Segments:
+    def cut(k, buffer: np.ndarray, begin: np.ndarray, length: np.ndarray, doc, rid, at, more=None) -> Segments:
         """From the places `begin` of a buffer that goes on for ROW bytes behind the last segment's start."""
         rows = np.lib.stride_tricks.as_strided(buffer, (max(len(buffer) - ROW + 1, 0), ROW), (1, 1))[begin]
         rows[np.arange(ROW) >= length[:, None]] = 0
-        return Segments(k, rows, length, doc, rid, at)
+        return Segments(k, rows, length, doc, rid, at, more)
 
     def order(self) -> tuple[np.ndarray, np.ndarray]:
         """An order in which equal segments stand together, by document, and whether each equals the one before it."""
@@ -197,7 +199,7 @@ class Segments:
             for c in range(words.shape[1]):
                 h = (h ^ (h >> np.uint64(31))) * _MIX[1] + words[:, c]
             h = (h ^ (h >> np.uint64(32))) * _MIX[2]
-        order = np.lexsort((self.doc, h))
+        order = np.lexsort((self.rid, self.doc, h))
         same = np.zeros(len(order), bool)
         near = np.flatnonzero(np.diff(h[order]) == 0) + 1
         a, b = order[near], order[near - 1]
@@ -205,15 +207,32 @@ class Segments:
         return order, same
 
     def collapsed(self) -> tuple[Segments, Segments]:
-        """Those of the smallest document that has them, by anchor; and the others, which repeat throughout."""
+        """Those of the smallest document that has them, one row for each row id, by anchor; and the others, which repeat
+        throughout."""
         order, same = self.order()
         if not len(order):
             return self, self
         first = np.flatnonzero(~same)
         least = np.repeat(self.doc[order[first]], np.diff(np.append(first, len(order))))
         repeats = self.doc[order] > least
-        heads = order[~repeats]
-        return self.take(heads[np.argsort(self.k[heads], kind="stable")]), self.take(order[repeats])
+        again = np.concatenate([[False], same[1:] & (np.diff(self.doc[order]) == 0) & (np.diff(self.rid[order]) == 0)]) & ~repeats
+        heads = self.take(order[~repeats & ~again])
+        number = np.cumsum(~repeats & ~again) - 1
+        ends = np.flatnonzero(again & ~np.append(again[1:], False))
+        for begin, end in zip(np.flatnonzero(again & ~np.concatenate([[False], again[:-1]])).tolist(), ends.tolist(), strict=True):
+            rest = order[begin : end + 1]
+            own = number[begin]
+            heads.more[own] = (heads.more[own] or b"") + self.at[rest].astype(np.int64).tobytes() + b"".join(x for x in self.more[rest] if x)
+        return heads.take(np.argsort(heads.k, kind="stable")), self.take(order[repeats])
+
+    def spans(self, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(doc, rid, low, high) of spans of the segments `of`, counted from their start, at all places of theirs."""
+        found = [(self.doc[of], self.rid[of], self.at[of] + low, self.at[of] + high)]
+        several = np.flatnonzero(self.more[of] != None)  # noqa: E711
+        for k in several.tolist():
+            at, own = np.frombuffer(self.more[of[k]], np.int64), of[k]
+            found.append((np.full(len(at), self.doc[own]), np.full(len(at), self.rid[own]), at + low[k], at + high[k]))
+        return _merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 def repeated(s: Segments) -> tuple[np.ndarray, np.ndarray]:
@@ -285,26 +304,27 @@ def spans_of(s: Segments, chunk: int = CHUNK) -> tuple[np.ndarray, ...]:
                 which, _ = repeated(part)
                 found.append((took[which], part.at[which]))
     of, place = (np.concatenate(x) for x in zip(*found, strict=True))
-    at = s.at[of] + place
-    return _merged(s.doc[of], s.rid[of], at, at + STRING)
+    one = np.zeros(len(of), np.int64)
+    of, _, place, end = _merged(of, one, place, place + STRING)
+    return s.spans(of, place, end)
 
 
 def _compared(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """Rows of segments sorted by anchor (k, segment, doc_id, rid, low, high) -> spans (doc_id, rid, low, high). Rows without a
-    segment are spans already."""
+    """Rows of segments sorted by anchor (k, segment, doc_id, rid, low, high, more) -> spans (doc_id, rid, low, high). Rows
+    without a segment are spans already."""
 
     def given(doc, rid, low, high) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, rid, low, high)], names=["doc_id", "rid", "low", "high"])
 
     def whole(s: Segments) -> pa.RecordBatch:
-        return given(*_merged(s.doc, s.rid, s.at, s.at + s.length))
+        return given(*s.spans(np.arange(len(s)), np.zeros(len(s), np.int64), s.length))
 
     held: list[Segments] = []
     size, limit = 0, chunk
     for batch in batches:
         ready = np.asarray(batch.column(1).is_null())
         if ready.any():
-            yield given(*(batch.column(k).to_numpy()[ready] for k in range(2, 6)))
+            yield given(*(batch.column(k).filter(pa.array(ready)).to_numpy() for k in range(2, 6)))
         if ready.all():
             continue
         got = batch.filter(pa.array(~ready))
@@ -312,7 +332,10 @@ def _compared(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator
         segments = got.column(1)
         offsets = np.frombuffer(segments.buffers()[1], np.int32, len(segments) + 1, segments.offset * 4).astype(np.int64)
         data = np.concatenate([np.frombuffer(segments.buffers()[2], np.uint8)[: offsets[-1]], np.zeros(ROW, np.uint8)])
-        held.append(Segments.cut(k, data, offsets[:-1], np.diff(offsets), doc, rid, low))
+        more = np.full(len(k), None, object)
+        several = got.column(6).is_valid()
+        more[np.asarray(several)] = got.column(6).filter(several).to_pylist()
+        held.append(Segments.cut(k, data, offsets[:-1], np.diff(offsets), doc, rid, low, more))
         size += int(offsets[-1] - offsets[0])
         if size < limit:
             continue
@@ -447,7 +470,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         begins = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
         buffer = np.frombuffer(b"".join([*raws, bytes(ROW)]), np.uint8)
         s, others = Segments.cut(h, buffer, begins[row] + first, length, docs_[row], rids[row], first).collapsed()
-        doc, rid, low, high = _merged(others.doc, others.rid, others.at, others.at + others.length)
+        doc, rid, low, high = others.spans(np.arange(len(others)), np.zeros(len(others), np.int64), others.length)
         cuts = np.concatenate([[0], np.cumsum(s.length)]).astype(np.int32)
         text = pa.py_buffer(s.rows[np.arange(ROW) < s.length[:, None]])
         segments = pa.BinaryArray.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(cuts), text])
@@ -455,11 +478,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             spread = (doc.view(np.uint64) * _MIX[2]).view(np.int64)
         return {
             "k": pa.array(np.concatenate([s.k, spread])), "segment": pa.concat_arrays([segments, pa.nulls(len(doc), pa.binary())]), "doc_id": pa.array(np.concatenate([s.doc, doc])),
-            "rid": pa.array(np.concatenate([s.rid, rid])), "low": pa.array(np.concatenate([s.at, low])), "high": pa.array(np.concatenate([s.at + s.length, high])),
+            "rid": pa.array(np.concatenate([s.rid, rid])), "low": pa.array(np.concatenate([s.at, low])),
+            "high": pa.concat_arrays([pa.nulls(len(s), pa.int64()), pa.array(high)]), "more": pa.concat_arrays([pa.array(s.more.tolist(), pa.binary()), pa.nulls(len(doc), pa.binary())]),
         }
 
     texts = rows.select(*key, "text")
-    segments = by_batch(texts.join(places, key).select(*key, "text", "marks"), cut, "k bigint, segment binary, doc_id bigint, rid bigint, low bigint, high bigint", rows=1000)
+    segments = by_batch(texts.join(places, key).select(*key, "text", "marks"), cut, "k bigint, segment binary, doc_id bigint, rid bigint, low bigint, high bigint, more binary", rows=1000)
     found = segments.repartition("k").sortWithinPartitions("k").mapInArrow(_compared, "doc_id bigint, rid bigint, low bigint, high bigint")
     whole = copies.select(*key, F.lit(0).cast("bigint").alias("low"), F.lit(-1).cast("bigint").alias("high"))
     spans = written(found.unionAll(whole).groupBy(*key).agg(F.collect_list(F.struct("low", "high")).alias("spans")), "suffix-spans")

@@ -69,7 +69,7 @@ def test_common_prefixes_are_exact():
 def test_rows_of_segments_in_any_batches():
     r = random.Random(41)
     rows = sorted((k, bytes(r.choice(b"ab") for _ in range(60)) if r.random() < 0.5 else bytes([97 + k]) * 70, d) for k in range(6) for d in range(30))
-    table = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows], pa.binary()), *(pa.array([x[2] if c == 0 else 0 for x in rows]) for c in range(4))], names=["k", "segment", "doc_id", "rid", "low", "high"])
+    table = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows], pa.binary()), *(pa.array([x[2] if c == 0 else 0 for x in rows]) for c in range(4)), pa.nulls(len(rows), pa.binary())], names=["k", "segment", "doc_id", "rid", "low", "high", "more"])
 
     def found(rows_each, chunk):
         covered = set()
@@ -78,3 +78,12 @@ def test_rows_of_segments_in_any_batches():
         return covered
 
     assert found(len(rows), 10**6) == found(7, 300) == found(1, 100) != set()
+
+
+def test_periodic_texts(spark):
+    r = random.Random(43)
+    rows = [(k, " ".join(r.choice(["same words. " * r.randint(3, 60), "ab" * 80, "x" * r.randint(40, 130)]) for _ in range(r.randint(1, 3)))) for k in range(150)]
+    r.shuffle(rows)
+    rows += [(3000, "only here, again and again! " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert values(suffix_dedup.remove_repeats(docs)) == removed(rows)
