@@ -46,6 +46,19 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.
     return df.mapInArrow(run, kind)
 
 
+#: Letters of several kinds, digits, punctuation, marks and symbols: what patterns of tokenizers tell apart.
+_KINDS = "aZé中1½.'s-$\u0301😀"
+
+
+def cuts_at_blanks(split: Callable[[str], tuple]) -> bool:
+    """Whether split(text), the parts of a text in order, comes to the same for what stands before a space or line end between
+    two other characters and for the rest, each alone. Tried on all neighbours of one and two characters of each kind."""
+    ends = [*_KINDS, *(a + b for a in _KINDS for b in _KINDS)]
+    alone = {x: split(x) for x in ends}
+    after = {blank + x: split(blank + x) for blank in " \n" for x in ends}
+    return all(split(a + b) == alone[a] + after[b] for a in ends for b in after)
+
+
 #: A single space between two characters that no definition of white space contains.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
@@ -58,8 +71,8 @@ def _whole(chunk: str) -> bool:
 
 class ChunkMemo:
     """Encodes texts through encode(list of pieces) -> list of bytes, where a text's pieces are cut before each single space,
-    and each single line end, that stands between two non-space characters. The split patterns of the byte-level tokenizers
-    never match across such a place, so the pieces' codes, joined, are the text's. Codes of short pieces are kept, `limit` of
+    and each single line end, that stands between two non-space characters. Only for patterns that cuts_at_blanks() accepts:
+    they never match across such a place, so the pieces' codes, joined, are the text's. Codes of short pieces are kept, `limit` of
     them at most: a full memo takes no more, as the first pieces met are mostly the common ones, and is emptied when it has
     missed many pieces since. Neither changes a result."""
 

@@ -5,15 +5,17 @@ The automaton is that of ".*(rule 1|rule 2|...)": after a byte its state tells w
 such an event that lies behind the rule's last match, the reversed rule's automaton gives the leftmost start and the rule's
 own automaton the longest end, so that each rule has its leftmost-longest matches without overlaps, as if it ran alone. This
 holds for rules in which a match that starts further left also begins to accept no later, which all rules below fulfil.
+Where all that ends at an event starts within the rule's last match, the rule alone is searched from the end of that match up
+to its next one, and events before are passed over. So each rule reads each byte a bounded number of times: time is linear in
+the text, and memory is that of the text and its matches.
 
 Rules are over ASCII; other bytes of UTF-8 only occur in negated classes. Defined cases: a null or empty text has no spans;
-repeated rows are scanned as they are; an empty table gives an empty result.
+repeated rows and ids are scanned as they are; an empty table gives an empty result; spans that start together are in the
+order of their rules; columns of docs other than those named are ignored by scan() and kept by redact(), whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -236,40 +238,55 @@ class Dfa:
         return best
 
 
+    def first(self, seen: bytes, at: int) -> int | None:
+        """The end of the first match in bytes from `at` on."""
+        s, step, hits = 0, self.step, self.hits
+        for k in range(at, len(seen)):
+            s = step[s + seen[k]]
+            if s in hits:
+                return k + 1
+        return None
+
+
 class Scanner:
     def __init__(self, rules: list[tuple[str, str, int, int]] = RULES):
         self.rules = rules
         trees = [_Parser(r[1]).either() for r in rules]
         self.all = Dfa(trees, True)
-        self.own = [(Dfa([t], False), Dfa([_reversed(t)], False)) for t in trees]
+        self.own = [(Dfa([t], False), Dfa([_reversed(t)], False), Dfa([t], True)) for t in trees]
 
     def spans(self, raw: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule) of all matches in bytes, by start, then rule; matches under a rule's length limits are dropped
         after the matching, as they keep what they cover from other matches."""
         dfa = self.all
-        step, hits = dfa.step, dfa.hits
-        events, s = [], 0
+        step, hits, accepts, s = dfa.step, dfa.hits, dfa.accepts, 0
+        last = [0] * len(self.rules)  # where the rule's last match ends
+        wait = [0] * len(self.rules)  # matches that end up to here are not the rule's next
+        out: list[tuple[int, int, int]] = []
+        seen: dict[bytes, bytes] = {}
+
+        def classes(of: Dfa) -> bytes:
+            if of.classes not in seen:
+                seen[of.classes] = raw.translate(of.classes)
+            return seen[of.classes]
+
         for k, c in enumerate(raw.translate(dfa.classes)):
             s = step[s + c]
-            if s in hits:
-                events.append((k + 1, s))
-        if not events:
-            return []
-        last, out = defaultdict(int), []
-        seen: dict[bytes, bytes] = {}
-        for end, s in events:
-            for r in dfa.accepts[s]:
-                if end <= last[r]:
-                    continue
-                ahead, back = self.own[r]
-                for x in (ahead, back):
-                    if x.classes not in seen:
-                        seen[x.classes] = raw.translate(x.classes)
-                start = back.longest(seen[back.classes], end - 1, last[r] - 1, -1)
-                if start is None:
+            if s not in hits:
+                continue
+            for r in accepts[s]:
+                if k < wait[r]:
                     continue
+                ahead, back, search = self.own[r]
+                start = back.longest(classes(back), k, last[r] - 1, -1)
+                if start is None:  # all that ends here starts in the last match: look for what starts behind it, once
+                    end = search.first(classes(search), last[r])
+                    wait[r] = len(raw) if end is None else end - 1
+                    if end != k + 1:
+                        continue
+                    start = back.longest(classes(back), k, last[r] - 1, -1)
                 start += 1
-                last[r] = ahead.longest(seen[ahead.classes], start, len(raw)) or end
+                last[r] = wait[r] = ahead.longest(classes(ahead), start, len(raw)) or k + 1
                 _, _, least, least_part = self.rules[r]
                 found = raw[start : last[r]]
                 if len(found) >= least and (not least_part or self.part(found) >= least_part):
