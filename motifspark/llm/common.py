@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,6 +15,9 @@ from pyspark.sql.types import StructType
 from ..storage import discard, shared_folder, shuffles_freed, written  # noqa: F401
 
 
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,9 +33,14 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
 
 
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | None], schema, rows: int = 2000) -> DataFrame:
-    """mapInArrow of fn over batches of at most `rows` rows; fn returns columns in the order of schema."""
+    """mapInArrow of fn over batches of at most `rows` rows; fn returns columns in the order of schema. Sets the session's limit
+    of a batch's bytes to BATCH_BYTES unless the user has set one: a worker holds a batch and what fn makes of it."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF) == "67108864b":
+        conf.set(BATCH_CONF, BATCH_BYTES)
+
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
@@ -42,25 +52,30 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.
                     got = pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(got.values(), arrow, strict=True)], schema=arrow)
                 if got is not None and got.num_rows:
                     yield got
+                del got
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, kind)
 
 
 #: Letters of several kinds, digits, punctuation, marks and symbols: what patterns of tokenizers tell apart.
 _KINDS = "aZé中1½.'s-$\u0301😀"
+#: Marks that often stand behind a word.
+_TAIL = ".,;:!?"
+#: A single space, or the place before a single line end, between two characters that no definition of white space contains.
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 
 
 def cuts_at_blanks(split: Callable[[str], tuple]) -> bool:
     """Whether split(text), the parts of a text in order, comes to the same for what stands before a space or line end between
-    two other characters and for the rest, each alone. Tried on all neighbours of one and two characters of each kind."""
+    two other characters and for the rest, each alone; likewise for a word and the marks behind it. Tried on all neighbours of
+    one and two characters of each kind."""
     ends = [*_KINDS, *(a + b for a in _KINDS for b in _KINDS)]
     alone = {x: split(x) for x in ends}
     after = {blank + x: split(blank + x) for blank in " \n" for x in ends}
-    return all(split(a + b) == alone[a] + after[b] for a in ends for b in after)
-
-
-#: A single space between two characters that no definition of white space contains.
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+    words = [x for x in ends if x.isalpha()]
+    tails = {x: split(x) for x in (*_TAIL, *(a + b for a in _TAIL for b in _TAIL))}
+    return all(split(a + b) == alone[a] + after[b] for a in ends for b in after) and all(split(a + b) == alone[a] + tails[b] for a in words for b in tails)
 
 
 def _whole(chunk: str) -> bool:
@@ -71,38 +86,82 @@ def _whole(chunk: str) -> bool:
 
 class ChunkMemo:
     """Encodes texts through encode(list of pieces) -> list of bytes, where a text's pieces are cut before each single space,
-    and each single line end, that stands between two non-space characters. Only for patterns that cuts_at_blanks() accepts:
-    they never match across such a place, so the pieces' codes, joined, are the text's. Codes of short pieces are kept, `limit` of
-    them at most: a full memo takes no more, as the first pieces met are mostly the common ones, and is emptied when it has
-    missed many pieces since. Neither changes a result."""
+    and each single line end, that stands between two non-space characters, and between a word and the marks behind it. Only for
+    patterns that cuts_at_blanks() accepts: they never match across such a place, so the pieces' codes, joined, are the text's.
+
+    Each different piece of a batch is looked up once. Codes of short pieces are kept, `limit` of them at most: a full memo
+    takes no more, as the first pieces met are mostly the common ones, and is emptied when it has missed many pieces since.
+    Neither changes a result."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 600_000, longest: int = 48):
         self.encode, self.limit, self.longest, self.missed = encode, limit, longest, 0
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
+        return self.batch(pa.array([text], pa.string()))[0].as_py()
+
+    def batch(self, texts: pa.Array) -> pa.BinaryArray:
+        """The codes of texts without nulls."""
+        # a chunk stands for itself if it begins with a line end or its text, otherwise for a space and itself
+        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        ends = chunks.offsets.to_numpy()
+        coded = chunks.flatten().dictionary_encode()
+        which, known = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        starts = ends[:-1]
+        firsts = [known[k] for k in which[starts]]
+        odd = np.array([not _whole(x) for x in known], bool)
+        uneven = np.add.reduceat(np.append(odd[which], False).astype(np.int64), starts) > odd[which[starts]] if len(texts) else np.zeros(0, bool)
+        uneven |= np.array([bool(x) and (x[0] == "\n" or not _whole(x)) for x in firsts], bool)
+        codes = self._codes(known, odd)
+        number = {x: len(known) + k for k, x in enumerate(dict.fromkeys(x for x in firsts if x))}
+        codes += [*self.encode(list(number)), b""]
+        which[starts] = [number.get(x, len(codes) - 1) for x in firsts]
+        which[np.repeat(uneven, np.diff(ends))] = len(codes) - 1
+        out = pa.array(codes, pa.binary()).take(pa.array(which))
+        offsets = np.frombuffer(out.buffers()[1], np.int32, len(out) + 1, out.offset * 4)[ends]
+        found = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(offsets)), out.buffers()[2] or pa.py_buffer(b"")])
+        if not uneven.any():
+            return found
+        rest = iter(self._uneven(texts.filter(pa.array(uneven)).to_pylist()))
+        return pa.array([next(rest) if u else x for u, x in zip(uneven, found.to_pylist(), strict=True)], pa.binary())
+
+    def _codes(self, chunks: list[str], odd: np.ndarray) -> list[bytes]:
+        """The codes of chunks that stand behind a space or begin with a line end; those marked odd are left empty."""
         memo = self.memo
-        # a chunk stands for itself if it begins with a line end, otherwise for a space and itself
-        first, *rest = text.replace("\n", " \n").split(" ")
-        out = list(map(memo.get, rest))
-        missed = {c for c, got in zip(rest, out, strict=True) if got is None} if None in out else ()
-        if not _whole(first) or first[0] == "\n" or not all(map(_whole, missed)):
-            first, *rest = _BETWEEN.split(text)
-            out = list(map(memo.get, rest))
-            missed = {c for c, got in zip(rest, out, strict=True) if got is None}
-        new = list(missed)
-        codes = self.encode([first, *(c if c[0] == "\n" else f" {c}" for c in new)])
-        if not new:
-            return codes[0] + b"".join(out)
-        own = dict(zip(new, codes[1:], strict=True))
-        out = [own[c] if got is None else got for c, got in zip(rest, out, strict=True)]
+        out = list(map(memo.get, chunks))
+        lost = [k for k, x in enumerate(out) if x is None and not odd[k]]
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = b""
+        if not lost:
+            return out
+        # a word with marks behind it goes as two pieces, of which the first may be known
+        parts = [(c, "") if (word := c.rstrip(_TAIL)) == c or not word[word[:1] == "\n" :].isalpha() else (word, c[len(word) :]) for c in (chunks[k] for k in lost)]
+        words = list(dict.fromkeys(w for w, _ in parts if w not in memo))
+        tails = list(dict.fromkeys(t for _, t in parts if t and t not in self.tails))
+        codes = self.encode([*(w if w[0] == "\n" else f" {w}" for w in words), *tails])
+        own = dict(zip(words, codes, strict=False))
+        if len(self.tails) > 10_000:
+            self.tails = {t: self.tails[t] for _, t in parts if t in self.tails}
+        self.tails |= zip(tails, codes[len(words) :], strict=True)
+        for k, (w, t) in zip(lost, parts, strict=True):
+            code = own[w] if w in own else memo[w]
+            out[k] = code + self.tails[t] if t else code
+            own[chunks[k]] = out[k]
         if len(memo) > self.limit:
-            self.missed += len(own)
+            self.missed += len(lost)
             if self.missed > 10 * self.limit:
                 self.missed = 0
-                memo.clear()
-        else:  # only whole chunks, which the plain split may meet again
-            memo.update((c, x) for c, x in own.items() if len(c) <= self.longest and "\n" not in c[1:] and _whole(c))
-        return codes[0] + b"".join(out)
+                self.memo = {"": b""}
+        else:
+            memo.update((c, x) for c, x in own.items() if len(c) <= self.longest)
+        return out
+
+    def _uneven(self, texts: list[str]) -> list[bytes]:
+        """The codes of texts with other white space than single blanks."""
+        cut = [_BETWEEN.split(t) for t in texts]
+        rest = list(dict.fromkeys(c for first, *own in cut for c in own))
+        firsts = list(dict.fromkeys(first for first, *_ in cut if first))
+        code_of = dict(zip(rest, self._codes(rest, np.zeros(len(rest), bool)), strict=True))
+        first_code = {"": b""} | dict(zip(firsts, self.encode(firsts), strict=True))
+        return [first_code[first] + b"".join(map(code_of.__getitem__, own)) for first, *own in cut]

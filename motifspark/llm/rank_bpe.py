@@ -37,12 +37,13 @@ class RankBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 400_000):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.bytes_of = {r: b for b, r in ranks.items()}
+        bytes_of = {r: b for b, r in ranks.items()}
+        self.tokens = pa.array([bytes_of.get(r) for r in range(max(ranks.values(), default=-1) + 1)], pa.binary())
         # marks of the ranks with entries: a word of 256 bits for each 256 ranks; merge() has one more for those words
         self.low = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
         self.pieces: dict[bytes, bytes] = {}
         self.limit = memo // 2
-        self.texts = ChunkMemo(self._encode_all, memo) if cuts_at_blanks(lambda t: tuple(self.pattern.findall(t))) else self._whole_text
+        self.memo = ChunkMemo(self._encode_all, memo) if cuts_at_blanks(lambda t: tuple(self.pattern.findall(t))) else None
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -113,10 +114,10 @@ class RankBpe:
     def _encode_all(self, pieces: list[str]) -> list[bytes]:
         out, known = [], self.pieces
         for text in pieces:
-            if text[1:].isalpha() and text.isascii() and text[0] == " ":  # one match of the pattern
+            if text[0] == " " and text[1:].isalpha() and text.isascii():  # one match of the pattern
                 out.append(array("I", self.merge(text.encode())).tobytes())
                 continue
-            ids = b""
+            ids = []
             for token in self.pattern.findall(text):
                 raw = token.encode("utf-8")
                 code = known.get(raw)
@@ -124,18 +125,31 @@ class RankBpe:
                     code = array("I", self.merge(raw)).tobytes()
                     if len(raw) <= 48 and len(known) < self.limit:
                         known[raw] = code
-                ids += code
-            out.append(ids)
+                ids.append(code)
+            out.append(b"".join(ids))
         return out
 
-    def _whole_text(self, text: str) -> bytes:
-        return self._encode_all([text])[0]
+    def encode_batch(self, texts: pa.Array) -> pa.Array:
+        """The ids of texts without nulls."""
+        return self.memo.batch(texts) if self.memo else pa.array(self._encode_all(texts.to_pylist()), pa.binary())
 
     def encode(self, text: str | None) -> bytes:
-        return self.texts(text or "")
+        return self.encode_batch(pa.array([text or ""], pa.string()))[0].as_py()
+
+    def decode_batch(self, ids: pa.Array) -> pa.Array:
+        """The bytes that ids stand for."""
+        ids = ids.cast(pa.binary()) if ids.type != pa.binary() else ids
+        offsets = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, ids.offset * 4)
+        flat = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view("<u4")
+        parts = self.tokens.take(pa.array(flat))
+        if parts.null_count:
+            raise ValueError("ids that no token has")
+        at = np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1, parts.offset * 4)[(offsets - offsets[0]) // 4]
+        valid = None if not ids.null_count else pa.array(ids.is_valid()).buffers()[1]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [valid, pa.py_buffer(np.ascontiguousarray(at)), parts.buffers()[2] or pa.py_buffer(b"")])
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decode_batch(pa.array([ids], pa.binary()))[0].as_py()
 
 
 _bpe: dict[tuple, RankBpe] = {}
@@ -154,10 +168,10 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         coder = bpe(path, pattern)
-        ids = [coder.encode(t) for t in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "ids": ids} | ({"text_bytes": [coder.decode(x) for x in ids]} if decoded else {})
+        ids = coder.encode_batch(batch.column(1).fill_null(""))
+        return {"doc_id": batch.column(0), "ids": ids} | ({"text_bytes": coder.decode_batch(ids)} if decoded else {})
 
-    return by_batch(docs.select(id_col, text_col), run, with_fields(docs.select(F.col(id_col).alias("doc_id")), "ids binary, text_bytes binary" if decoded else "ids binary"), rows=500)
+    return by_batch(docs.select(id_col, text_col), run, with_fields(docs.select(F.col(id_col).alias("doc_id")), "ids binary, text_bytes binary" if decoded else "ids binary"))
 
 
 def decode_ids(coded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -166,7 +180,7 @@ def decode_ids(coded: DataFrame, path: str, pattern: str, ids_col: str = "ids")
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         coder = bpe(path, pattern)
-        return dict(zip([*coded_names, "text_bytes"], [*batch.columns, [None if x is None else coder.decode(x) for x in batch.column(at).to_pylist()]], strict=True))
+        return dict(zip([*coded_names, "text_bytes"], [*batch.columns, coder.decode_batch(batch.column(at))], strict=True))
 
     coded_names = coded.columns
     return by_batch(coded, run, with_fields(coded, "text_bytes binary"), rows=500)

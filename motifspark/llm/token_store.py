@@ -7,110 +7,141 @@ Format of a shard, the row of a Parquet table (Spark's writers and readers are t
   n_docs, n_ids  documents and ids in it
   keys           the documents' ids, ascending, as little-endian signed 64-bit integers
   payload        the raw ids, little-endian unsigned 16- or 32-bit, documents one after another
-  seeds          the hash index: a 32-bit displacement for each bucket of keys
+  seeds          the hash index: a 32-bit number for each bucket of keys: with its highest bit set, the place of the bucket's
+                 only key; otherwise the displacement of the bucket's keys
   slots          for each place of the index: 32-bit fingerprint of its key, 64-bit offset and 32-bit count of its ids
 
-A key is (document id, number of the repetition of that id). Its hash gives a bucket, the bucket's displacement gives its
-place, the stored fingerprint tells whether the key is in the shard, and the place gives where its ids are: constant time.
+A key is (document id, number of the repetition of that id within the shard). Its hash gives a bucket, the bucket's number
+gives its place, the stored fingerprint tells whether the key is in the shard, and the place gives where its ids are: constant
+time.
+
+Documents are encoded where they are read; only their ids are dealt out, by ranges of (id, hash of the text, hash of the row's
+number) that a bounded sample sets, so a null or repeated id, however frequent, spreads over many ranges and shards.
 
 Defined cases: a null text is an empty one (the end id alone); documents with a null id come first, under the key of the
-smallest integer; repeated ids are told apart by their number, in order of their texts' digests.
+smallest integer; documents of one id are in order of their texts' hashes, equal rows in any order; an empty table gives an
+empty store; columns of docs other than the two named are ignored. A task holds one shard of ids and one batch of texts.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ChunkMemo, broadcast_if_small, shared_folder
+from .common import ChunkMemo, broadcast_if_small, by_batch, cuts_at_blanks, shared_folder, shuffles_freed
 
 NO_ID = -(1 << 63)
 SHARD_SCHEMA = "part int, shard int, first bigint, last bigint, n_docs int, n_ids bigint, keys binary, payload binary, seeds binary, slots binary"
 SLOT = np.dtype([("print", "<u4"), ("offset", "<u8"), ("count", "<u4")])
-PER_BUCKET = 4
-
-
-def key_hash(key: int, repeat: int) -> tuple[int, int]:
-    """64 bits that place a key and 32 that tell it from others."""
-    raw = struct.pack("<qI", key, repeat)
-    return xxhash.xxh64_intdigest(raw, 1), xxhash.xxh32_intdigest(raw, 2)
-
-
-def place(h: int, seed: int, n: int) -> int:
-    """Where a displacement sends a key: a mix of both, spread over n places."""
-    x = (h ^ seed * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
-    x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
-    return (x >> 32) * n >> 32
-
-
-def perfect_hash(hashes: list[int]) -> list[int]:
-    """A displacement for each bucket so that all keys take different places of len(hashes)."""
-    n = len(hashes)
-    buckets: list[list[int]] = [[] for _ in range(-(-n // PER_BUCKET))]
-    for h in hashes:
-        buckets[h % len(buckets)].append(h)
-    seeds, taken = [0] * len(buckets), bytearray(n)
-    for b in sorted(range(len(buckets)), key=lambda b: -len(buckets[b])):
-        own, seed = buckets[b], 0
-        while own:
-            spots = {place(h, seed, n) for h in own}
-            if len(spots) == len(own) and not any(map(taken.__getitem__, spots)):
-                for s in spots:
-                    taken[s] = 1
-                break
-            seed += 1
-        seeds[b] = seed
+PER_BUCKET, ALONE = 3, 1 << 31
+#: Rows sampled for each range that the documents are dealt out by, and for all together.
+SAMPLED, SAMPLED_ALL = 100, 1_000_000
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits, each of which depends on all bits of x."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+        x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def key_hash(keys: np.ndarray, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits that place each key and 32 that tell it from others."""
+    with np.errstate(over="ignore"):
+        h = mixed(keys.astype(np.int64).view(np.uint64) + mixed(repeats.astype(np.uint64) + _MIX[0]))
+        return h, (mixed(h + _MIX[0]) >> np.uint64(32)).astype(np.uint32)
+
+
+def place(h: np.ndarray, seed: np.ndarray, n: int) -> np.ndarray:
+    """Where displacements send keys, of n places."""
+    with np.errstate(over="ignore"):
+        x = mixed(h ^ (seed.astype(np.uint64) + np.uint64(1)) * _MIX[0])
+    return ((x >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h % np.uint64(buckets)).astype(np.int64)
+
+
+def perfect_hash(h: np.ndarray) -> np.ndarray:
+    """The number of each bucket, so that all keys take different places of len(h)."""
+    n = len(h)
+    buckets = -(-n // PER_BUCKET)
+    bucket = bucket_of(h, buckets)
+    order = np.argsort(bucket, kind="stable")
+    sizes = np.bincount(bucket, minlength=buckets)
+    begin = np.cumsum(sizes) - sizes
+    seeds, taken = np.zeros(buckets, np.uint32), np.zeros(n, bool)
+    for size in range(sizes.max(initial=0), 1, -1):
+        left = np.flatnonzero(sizes == size)
+        keys = h[order[begin[left][:, None] + np.arange(size)]]
+        seed = 0
+        while len(left):  # all buckets of this size try a displacement at once; of those in each other's way the first stays
+            spots = place(keys, np.full(1, seed), n)
+            good = ~taken[spots].any(1)
+            across = np.sort(spots, axis=1)
+            good &= (np.diff(across, axis=1) > 0).all(1)
+            tried = np.flatnonzero(good)
+            flat = spots[tried].ravel()
+            _, first, again = np.unique(flat, return_index=True, return_inverse=True)
+            wins = tried[(first[again] == np.arange(len(flat))).reshape(-1, size).all(1)]
+            taken[spots[wins]] = True
+            seeds[left[wins]] = seed
+            rest = np.ones(len(left), bool)
+            rest[wins] = False
+            left, keys, seed = left[rest], keys[rest], seed + 1
+    alone = np.flatnonzero(sizes == 1)
+    seeds[alone] = np.flatnonzero(~taken) + ALONE
     return seeds
 
 
+def repeats_of(keys: np.ndarray) -> np.ndarray:
+    """The number of each key's repetition, of sorted keys."""
+    at = np.arange(len(keys))
+    return at - np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(keys) != 0])[: len(keys)], at, 0))
+
+
 class Shard(NamedTuple):
     seeds: np.ndarray
     slots: np.ndarray
-    payload: memoryview
-    width: int
+    payload: np.ndarray
 
     @classmethod
     def of(cls, seeds: bytes, slots: bytes, payload: bytes, n_ids: int) -> Shard:
-        return cls(np.frombuffer(seeds, "<u4"), np.frombuffer(slots, SLOT), memoryview(payload), len(payload) // max(n_ids, 1))
+        return cls(np.frombuffer(seeds, "<u4"), np.frombuffer(slots, SLOT), np.frombuffer(payload, f"<u{len(payload) // max(n_ids, 1) or 2}"))
 
-    def find(self, key: int, repeat: int = 0) -> tuple[int, np.ndarray] | None:
-        """Offset in the shard and ids of a key; None if it isn't in the shard (but for one of 2^32 keys that never were)."""
+    def find(self, keys: np.ndarray, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each key: whether it is in the shard (for one of 2^32 keys that aren't, this is wrong), offset and count of its ids."""
         if not len(self.slots):
-            return None
-        h, mark = key_hash(key, repeat)
-        slot = self.slots[place(h, int(self.seeds[h % len(self.seeds)]), len(self.slots))]
-        if slot["print"] != mark:
-            return None
-        at, n = int(slot["offset"]), int(slot["count"])
-        return at, np.frombuffer(self.payload[at * self.width : (at + n) * self.width], f"<u{self.width}")
-
-
-def pack(part: int, shard: int, keys: list[int], codes: list[bytes], width: int) -> dict:
-    """A shard's row. codes: the documents' ids in order, of `width` bytes each."""
-    repeats, marks, hashes = [], [], []
-    for k, key in enumerate(keys):
-        repeats.append(repeats[-1] + 1 if k and keys[k - 1] == key else 0)
-        h, mark = key_hash(key, repeats[-1])
-        hashes.append(h)
-        marks.append(mark)
-    seeds = perfect_hash(hashes)
-    slots, at = np.zeros(len(keys), SLOT), 0
-    for h, mark, code in zip(hashes, marks, codes, strict=True):
-        n = len(code) // width
-        slots[place(h, seeds[h % len(seeds)], len(keys))] = (mark, at, n)
-        at += n
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        h, mark = key_hash(keys, repeats)
+        seed = self.seeds[bucket_of(h, len(self.seeds))]
+        spot = np.where(seed >= ALONE, np.minimum(seed.astype(np.int64) - ALONE, len(self.slots) - 1), place(h, seed, len(self.slots)))
+        slot = self.slots[spot]
+        return slot["print"] == mark, slot["offset"].astype(np.int64), slot["count"].astype(np.int64)
+
+
+def pack(part: int, shard: int, keys: np.ndarray, counts: np.ndarray, payload: bytes) -> dict:
+    """A shard's row. keys: ascending; counts: the number of ids of each; payload: all ids."""
+    h, mark = key_hash(keys, repeats_of(keys))
+    seeds = perfect_hash(h)
+    slots = np.zeros(len(keys), SLOT)
+    seed = seeds[bucket_of(h, len(seeds))]
+    spot = np.where(seed >= ALONE, seed.astype(np.int64) - ALONE, place(h, seed, len(keys)))
+    slots["print"][spot], slots["offset"][spot], slots["count"][spot] = mark, np.cumsum(counts) - counts, counts
     return {
-        "part": part, "shard": shard, "first": keys[0], "last": keys[-1], "n_docs": len(keys), "n_ids": at, "keys": np.array(keys, "<i8").tobytes(),
-        "payload": b"".join(codes), "seeds": np.array(seeds, "<u4").tobytes(), "slots": slots.tobytes(),
+        "part": part, "shard": shard, "first": int(keys[0]), "last": int(keys[-1]), "n_docs": len(keys), "n_ids": int(counts.sum()), "keys": keys.astype("<i8").tobytes(),
+        "payload": payload, "seeds": seeds.astype("<u4").tobytes(), "slots": slots.tobytes(),
     }
 
 
@@ -130,24 +161,32 @@ class LibraryCoder:
         probe = self.library.encode(" a\n b\nc", add_special_tokens=False).ids
         self.line_end = line_end[0] if len(line_end) == 1 and probe.count(line_end[0]) == 2 else None
         self.line_end_code = np.array(line_end, f"<u{self.width}").tobytes()
-        self.texts = ChunkMemo(self.pieces)
+        self.memo = ChunkMemo(self.pieces) if self.line_end is not None and cuts_at_blanks(lambda t: tuple(self.library.encode(t, add_special_tokens=False).ids)) else None
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, f"<u{self.width}")
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, f"<u{self.width}") for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
         lines = [p[p[:1] == "\n" :] for p in pieces]
-        plain = [k for k, x in enumerate(lines) if x.strip() and "\n" not in x and not x[-1].isspace() and not x.removeprefix(" ")[0].isspace()] if self.line_end is not None else []
+        plain = [k for k, x in enumerate(lines) if x and "\n" not in x and not x[-1].isspace() and not x.removeprefix(" ")[0].isspace()]
         out: list[bytes | None] = [None] * len(pieces)
-        ids = self.ids("\n".join([lines[k] for k in plain]))
-        cuts = np.flatnonzero(ids == self.line_end).tolist()
-        if plain and len(cuts) == len(plain) - 1:
-            raw, at, width = ids.tobytes(), 0, self.width
-            for k, end in zip(plain, [*cuts, len(ids)], strict=True):
-                code = raw[at * width : end * width]
-                out[k] = self.line_end_code + code if pieces[k][0] == "\n" else code
-                at = end + 1
-        return [self.ids(p).tobytes() if x is None else x for p, x in zip(pieces, out, strict=True)]
+        if plain:
+            ids = self.ids(["\n".join([lines[k] for k in plain])])[0]
+            cuts = np.flatnonzero(ids == self.line_end).tolist()
+            if len(cuts) == len(plain) - 1:
+                raw, at, width = ids.tobytes(), 0, self.width
+                for k, end in zip(plain, [*cuts, len(ids)], strict=True):
+                    code = raw[at * width : end * width]
+                    out[k] = self.line_end_code + code if pieces[k][0] == "\n" else code
+                    at = end + 1
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self.ids([pieces[k] for k in rest]), strict=True):
+            out[k] = x.tobytes()
+        return out
+
+    def batch(self, texts: pa.Array) -> pa.Array:
+        """The ids of texts without nulls, `width` bytes each."""
+        return self.memo.batch(texts) if self.memo else pa.array([x.tobytes() for x in self.ids(texts.to_pylist())], pa.binary())
 
 
 _coders: dict[str, LibraryCoder] = {}
@@ -182,71 +221,100 @@ class TokenStore:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    shard = Shard.of(r["seeds"], r["slots"], r["payload"], r["n_ids"])
-                    keys, out, repeat = np.frombuffer(r["keys"], "<i8").tolist(), [], 0
-                    for k, key in enumerate(keys):
-                        repeat = repeat + 1 if k and keys[k - 1] == key else 0
-                        at, ids = shard.find(key, repeat)
-                        out.append((None if key == NO_ID else key, r["start"] + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=[name, "start", "n_tokens", "ids_crc32"])
+                    shard, keys = Shard.of(r["seeds"], r["slots"], r["payload"], r["n_ids"]), np.frombuffer(r["keys"], "<i8")
+                    known, at, n = shard.find(keys, repeats_of(keys))
+                    if not known.all():
+                        raise ValueError("the index lacks a key of its shard")
+                    raw = memoryview(shard.payload.astype("<u4").tobytes())
+                    crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * at).tolist(), (4 * (at + n)).tolist(), strict=True)]
+                    ids = pa.array(keys, mask=keys == NO_ID)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(at + r["start"]), pa.array(n), pa.array(crc, pa.int64())], names=[name, "start", "n_tokens", "ids_crc32"])
 
         return self.shards().select("keys", "payload", "seeds", "slots", "n_ids", "start").mapInArrow(run, f"{name} bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
     def lookup(self, keys: list[int]) -> DataFrame:
-        """(doc_id, repeat 0's ids) of a short list of keys: only shards whose range holds one are read."""
+        """(doc_id, ids) of a short list of keys, the first of each id in every shard that has it: only shards whose range holds one
+        are read."""
         name = self.id_name
         held = " OR ".join(f"({int(k)} BETWEEN first AND last)" for k in keys) or "false"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    shard = Shard.of(r["seeds"], r["slots"], r["payload"], r["n_ids"])
-                    found = [(k, x[1].tolist()) for k in keys if r["first"] <= k <= r["last"] and (x := shard.find(k))]
+                    shard, own = Shard.of(r["seeds"], r["slots"], r["payload"], r["n_ids"]), np.array([k for k in keys if r["first"] <= k <= r["last"]], np.int64)
+                    known, at, n = shard.find(own, np.zeros(len(own)))
+                    found = [(k, shard.payload[a : a + c].tolist()) for k, yes, a, c in zip(own.tolist(), known, at, n, strict=True) if yes]
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=[name, "ids"])
 
         return self.spark.read.schema(SHARD_SCHEMA).parquet(self.path).where(held).select("first", "last", "payload", "seeds", "slots", "n_ids").mapInArrow(run, f"{name} bigint, ids array<bigint>")
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20) -> TokenStore:
-    """Encodes texts with the tokenizer file, appends end_id, and writes shards of about shard_ids ids in ascending id order.
+def range_bounds(rows: DataFrame, parts: int) -> list[tuple[int, int, int]]:
+    """Keys (key, text_hash, row_hash) that cut the rows into about equal ranges, from a sample of bounded size."""
+    n = rows.count()
+    share = min(1.0, min(SAMPLED * parts, SAMPLED_ALL) / max(n, 1))
+    some = sorted(map(tuple, rows.where(F.pmod("row_hash", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key", "text_hash", "row_hash").collect()))
+    return [some[len(some) * k // parts] for k in range(1, parts)] if some else []
+
 
-    Texts are dealt out by ranges of the id and sorted; a shard is a run of a partition, so no task holds more than one
-    shard of ids beside its sorted rows."""
+def range_of(columns: list[np.ndarray], bounds: list[tuple[int, int, int]]) -> np.ndarray:
+    """The range of each row."""
+    keys = np.array([b[0] for b in bounds], np.int64)
+    low, high = np.searchsorted(keys, columns[0], "left"), np.searchsorted(keys, columns[0], "right")
+    for k in np.flatnonzero(low < high).tolist():
+        high[k] = bisect_right(bounds, tuple(int(c[k]) for c in columns))
+    return high.astype(np.int32)
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20, parts: int | None = None) -> TokenStore:
+    """Encodes texts with the tokenizer file, appends end_id, and writes shards of about shard_ids ids in ascending id order,
+    from `parts` ranges of the documents (if None, as many as Spark's shuffle partitions)."""
     spark = docs.sparkSession
     if path is None:
         import uuid
 
         path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
-    rows = docs.select(key.alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("text")).select(F.spark_partition_id().alias("part"), "key", "text")
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("text_hash"), F.xxhash64(F.monotonically_increasing_id()).alias("row_hash"), text.alias("text"))
+    bounds = range_bounds(rows, parts)
+
+    def encode(batch: pa.RecordBatch) -> dict[str, list]:
+        order = [batch.column(k).to_numpy() for k in range(3)]
+        return {"part": range_of(order, bounds)} | {str(k): batch.column(k) for k in range(3)} | {"ids": _coder(tokenizer).batch(batch.column(3))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(tokenizer)
-        end = np.array([end_id], f"<u{coder.width}").tobytes()
-        part, shard, keys, codes, held = 0, 0, [], [], 0
+        width = _coder(tokenizer).width
+        end = np.array([end_id], f"<u{width}").tobytes()
+        part, shard, held, size = 0, 0, [], 0
 
         def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([pack(part, shard, keys, codes, coder.width)], schema=arrow)
+            keys, codes = np.concatenate([k for k, _ in held]), [c for _, own in held for c in own]
+            counts = np.array([len(c) // width + 1 for c in codes])
+            return pa.RecordBatch.from_pylist([pack(part, shard, keys, counts, end.join([*codes, b""]))], schema=arrow)
 
         for batch in batches:
-            parts, ids, texts = batch.column(0), batch.column(1), batch.column(2)
-            for k in range(batch.num_rows):
-                # a run of equal ids stays in one shard, for the numbers of its repetitions
-                if held >= shard_ids * coder.width and ids[k].as_py() != keys[-1]:
+            part = batch.column(0)[0].as_py()
+            lengths = np.diff(np.frombuffer(batch.column(2).buffers()[1], np.int32, batch.num_rows + 1, batch.column(2).offset * 4)) // width + 1
+            done, upto = 0, np.cumsum(lengths)
+            while done < batch.num_rows:
+                before = int(upto[done - 1]) if done else 0
+                to = min(int(np.searchsorted(upto, before + shard_ids - size)) + 1, batch.num_rows)
+                held.append((batch.column(1)[done:to].to_numpy(), batch.column(2)[done:to].to_pylist()))
+                size, done = size + int(upto[to - 1]) - before, to
+                if size >= shard_ids:
                     yield full()
-                    shard, keys, codes, held = shard + 1, [], [], 0
-                part = parts[k].as_py()
-                keys.append(ids[k].as_py())
-                codes.append(coder.texts(texts[k].as_py()) + end)
-                held += len(codes[-1])
-        if keys:
+                    shard, held, size = shard + 1, [], 0
+        if held:
             yield full()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(SHARD_SCHEMA))
-    dealt.mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
+    coded = by_batch(rows, encode, "part int, key bigint, text_hash bigint, row_hash bigint, ids binary")
+    dealt = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("key", "text_hash", "row_hash").select("part", "key", "ids")
+    with shuffles_freed(spark):
+        dealt.mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
     return TokenStore(spark, path, "doc_id")
