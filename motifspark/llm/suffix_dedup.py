@@ -19,7 +19,7 @@ sample; this decides where strings are compared, never what is found.
 Defined cases: a null text is an empty one; documents with a null id come after all others; rows with equal ids are never
 smaller than each other, so they keep what they share; texts shorter than a string keep all; an empty table gives an empty
 result; columns of docs other than the two named are ignored. A task needs about 100 bytes for each byte of its longest text
-or 1 MB, whichever is more, as anchors are made for 1 MB of strings at a time.
+or half a MB, whichever is more, as anchors are made for that many strings at a time.
 """
 
 from __future__ import annotations
@@ -40,11 +40,11 @@ SPAN = STRING - GRAM + 1
 SEGMENT, ROW = STRING + SPAN - 1, 88
 LAST_ID = (1 << 63) - 1
 #: Bytes of segments that one suffix array is made of, about.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 #: String starts that anchors are made for at a time.
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 #: Documents looked at for hot grams, and the share of them that holds a hot one.
-SAMPLE, HOT_SHARE = 2000, 0.01
+SAMPLE, HOT_SHARE = 1000, 0.01
 _MIX = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
@@ -436,7 +436,7 @@ def _shared(rows: DataFrame, hot: HotGrams) -> DataFrame:
         if held:
             yield done()
 
-    marks = by_batch(rows.select("doc_id", "rid", "text"), find, "bucket int, h binary, doc_id binary, rid binary")
+    marks = by_batch(rows.select("doc_id", "rid", "text"), find, "bucket int, h binary, doc_id binary, rid binary", rows=1000)
     dealt = marks.repartition("bucket").sortWithinPartitions("bucket")
     return written(dealt.mapInArrow(compare, "doc_id bigint, rid bigint, mark int"), "shared-anchors")
 
