@@ -27,6 +27,14 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def unused(df: DataFrame) -> str:
+    """A prefix that no column of df begins with, for working columns."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """df's schema with more fields."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -78,8 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.BASE_RULES)
-_SIGNALS = " UNION ALL ".join(f"SELECT n, lang, source, base_failed, '{name}' AS signal, CAST({sql.replace(' div ', ' // ')} AS BIGINT) AS v FROM c" for name, (sql, _, _) in quality.SIGNALS.items())
-_TOLERANCES = ", ".join(f"('{name}', {tolerance}, {both})" for name, (_, tolerance, both) in quality.SIGNALS.items())
+_SIGNALS = " UNION ALL ".join(f"SELECT n, lang, source, base_failed, '{name}' AS signal, CAST({x.sql.replace(' div ', ' // ')} AS BIGINT) AS v FROM c" for name, x in quality.SIGNALS.items())
+_LEVELS = ", ".join(f"('{name}', {x.inner}, {x.outer}, {x.spreads}, {x.both_sides})" for name, x in quality.SIGNALS.items())
+_VALUE = "CASE WHEN {0} < 64 THEN {0} ELSE ({0} - ({0} // 32 - 1) * 32) << ({0} // 32 - 1) END"
+_BUCKET = "CASE WHEN {0} < 64 THEN {0} ELSE (length(bin({0})) - 6) * 32 + ({0} >> (length(bin({0})) - 6)) END"
 _WORD = r"[^\x20\x09-\x0D]"
 ORACLE: dict[str, str] = {
     "op2_quality_rules": rf"""
@@ -95,18 +97,25 @@ b AS (SELECT d.n, doc_id, lang, source, len(w) AS n_words, CAST(coalesce(list_su
       FROM d JOIN l USING (n) LEFT JOIN k USING (n)),
 c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 s AS ({_SIGNALS}),
-h AS (SELECT *, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END AS bucket FROM s WHERE NOT base_failed),
-m AS (SELECT grouping(lang, source) AS level, lang, source, signal, bucket, count(*) AS k FROM h GROUP BY GROUPING SETS ((lang, source, signal, bucket), (lang, signal, bucket), (signal, bucket))),
-e AS (SELECT *, sum(k) OVER (PARTITION BY level, lang, source, signal ORDER BY bucket) AS upto, sum(k) OVER (PARTITION BY level, lang, source, signal) AS docs,
-             CASE WHEN bucket < 64 THEN bucket ELSE (bucket - (bucket // 32 - 1) * 32) << (bucket // 32 - 1) END AS low_end FROM m),
-q AS (SELECT level, lang, source, signal, max(docs) AS docs, min(CASE WHEN upto * 100 >= docs * {quality.LOW} THEN low_end END) AS low, min(CASE WHEN upto * 100 >= docs * {quality.MIDDLE} THEN low_end END) AS middle
-      FROM e GROUP BY ALL),
-f AS (SELECT q.*, CASE WHEN both_sides THEN middle - greatest(tolerance, {quality.SPREADS} * (middle - low)) ELSE -1 END AS low_fence, middle + greatest(tolerance, {quality.SPREADS} * (middle - low)) AS high_fence
-      FROM q JOIN (VALUES {_TOLERANCES}) AS x(name, tolerance, both_sides) ON signal = name),
-j AS (SELECT s.n, bool_and(v BETWEEN CASE WHEN f0.docs >= {quality.LEAST} THEN f0.low_fence WHEN f1.docs >= {quality.LEAST} THEN f1.low_fence ELSE f2.low_fence END
-                           AND CASE WHEN f0.docs >= {quality.LEAST} THEN f0.high_fence WHEN f1.docs >= {quality.LEAST} THEN f1.high_fence ELSE f2.high_fence END) AS inside
-      FROM s JOIN f f0 ON f0.level = 0 AND f0.lang IS NOT DISTINCT FROM s.lang AND f0.source IS NOT DISTINCT FROM s.source AND f0.signal = s.signal
-             JOIN f f1 ON f1.level = 1 AND f1.lang IS NOT DISTINCT FROM s.lang AND f1.signal = s.signal JOIN f f2 ON f2.level = 3 AND f2.signal = s.signal GROUP BY s.n),
+h AS (SELECT *, {_BUCKET.format("v")} AS bucket FROM s),
+ko AS (SELECT lang, source, signal, bucket, count(*) AS k FROM h WHERE NOT base_failed GROUP BY ALL),
+kl AS (SELECT lang, signal, bucket, sum(k) AS k FROM ko GROUP BY ALL),
+kc AS (SELECT signal, bucket, sum(k) AS k FROM ko GROUP BY ALL),
+a AS (SELECT g.lang, g.source, kc.signal, kc.bucket, coalesce(ko.k, 0) AS n, coalesce(kl.k, 0) AS m, kc.k AS c
+      FROM (SELECT DISTINCT lang, source FROM ko) g CROSS JOIN kc
+      LEFT JOIN kl ON kl.lang IS NOT DISTINCT FROM g.lang AND kl.signal = kc.signal AND kl.bucket = kc.bucket
+      LEFT JOIN ko ON ko.lang IS NOT DISTINCT FROM g.lang AND ko.source IS NOT DISTINCT FROM g.source AND ko.signal = kc.signal AND ko.bucket = kc.bucket),
+e AS (SELECT *, {quality.UNIT} * sum(n) OVER up + ({quality.PRIOR * quality.UNIT} * sum(m) OVER up) // (sum(m) OVER whole) + ({quality.PRIOR * quality.UNIT} * sum(c) OVER up) // (sum(c) OVER whole) AS upto,
+             {quality.UNIT} * sum(n) OVER whole + {2 * quality.PRIOR * quality.UNIT} AS weight
+      FROM a WINDOW whole AS (PARTITION BY lang, source, signal), up AS (PARTITION BY lang, source, signal ORDER BY bucket)),
+q AS (SELECT lang, source, signal, any_value(spreads) AS spreads, any_value(both_sides) AS both_sides,
+             min(bucket) FILTER (WHERE upto * 100 >= weight * inner_level) AS inner_q, min(bucket) FILTER (WHERE upto * 100 >= weight * outer_level) AS outer_q,
+             min(bucket) FILTER (WHERE upto * 100 >= weight * (100 - inner_level)) AS lower_q, min(bucket) FILTER (WHERE upto * 100 >= weight * (100 - outer_level)) AS lowest_q
+      FROM e JOIN (VALUES {_LEVELS}) AS x(name, inner_level, outer_level, spreads, both_sides) ON signal = name GROUP BY lang, source, signal),
+x AS (SELECT lang, source, signal, spreads, both_sides, {_VALUE.format("inner_q")} AS inner_v, {_VALUE.format("(outer_q + 1)")} AS outer_v, {_VALUE.format("(lower_q + 1)")} AS lower_v, {_VALUE.format("lowest_q")} AS lowest_v FROM q),
+v AS (SELECT lang, source, signal, CAST(CASE WHEN both_sides THEN greatest(lowest_v - spreads * (lower_v - lowest_v), 0) ELSE 0 END AS BIGINT) AS low, CAST(outer_v + spreads * (outer_v - inner_v) AS BIGINT) AS high FROM x),
+j AS (SELECT h.n, bool_and(bucket BETWEEN {_BUCKET.format("low")} AND {_BUCKET.format("high")}) AS inside
+      FROM h JOIN v ON v.lang IS NOT DISTINCT FROM h.lang AND v.source IS NOT DISTINCT FROM h.source AND v.signal = h.signal GROUP BY h.n),
 w AS (SELECT n, max(v) FILTER (WHERE signal = 'symbol_rate') AS symbol_rate, max(v) FILTER (WHERE signal = 'repeat_rate') AS repeat_rate,
              max(v) FILTER (WHERE signal = 'dup_line_rate') AS dup_line_rate, max(v) FILTER (WHERE signal = 'word_length') AS word_length FROM s GROUP BY n)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, symbol_rate, repeat_rate, dup_line_rate, word_length, NOT base_failed AND coalesce(inside, true) AS kept
