@@ -40,7 +40,7 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | None], schema, rows: int = 2000) -> DataFrame:
+def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | None], schema, rows: int = 10_000) -> DataFrame:
     """mapInArrow of fn over batches of at most `rows` rows; fn returns columns in the order of schema. Sets the session's limit
     of a batch's bytes to BATCH_BYTES unless the user has set one: a worker holds a batch and what fn makes of it."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -97,79 +97,90 @@ class ChunkMemo:
     and each single line end, that stands between two non-space characters, and between a word and the marks behind it. Only for
     patterns that cuts_at_blanks() accepts: they never match across such a place, so the pieces' codes, joined, are the text's.
 
-    Each different piece of a batch is looked up once. Codes of short pieces are kept, `limit` of them at most: a full memo
-    takes no more, as the first pieces met are mostly the common ones, and is emptied when it has missed many pieces since.
-    Neither changes a result."""
+    Codes of short pieces are kept as Arrow arrays, `limit` of them at most, in which a batch's pieces are looked up at once. A
+    full memo takes no more, as the first pieces met are mostly the common ones, and is emptied when it has missed many pieces
+    since. Neither changes a result."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 600_000, longest: int = 48):
-        self.encode, self.limit, self.longest, self.missed = encode, limit, longest, 0
-        self.memo: dict[str, bytes] = {"": b""}
+        self.encode, self.limit, self.longest = encode, limit, longest
         self.tails: dict[str, bytes] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known, self.codes, self.missed = pa.array([], pa.string()), pa.array([], pa.binary()), 0
 
     def __call__(self, text: str) -> bytes:
         return self.batch(pa.array([text], pa.string()))[0].as_py()
 
     def batch(self, texts: pa.Array) -> pa.BinaryArray:
         """The codes of texts without nulls."""
+        if not len(texts):
+            return pa.array([], pa.binary())
         # a chunk stands for itself if it begins with a line end or its text, otherwise for a space and itself
         chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        ends = chunks.offsets.to_numpy()
-        coded = chunks.flatten().dictionary_encode()
-        which, known = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        ends, words = chunks.offsets.to_numpy(), chunks.flatten()
         starts = ends[:-1]
-        firsts = [known[k] for k in which[starts]]
-        odd = np.array([not _whole(x) for x in known], bool)
-        uneven = np.add.reduceat(np.append(odd[which], False).astype(np.int64), starts) > odd[which[starts]] if len(texts) else np.zeros(0, bool)
-        uneven |= np.array([bool(x) and (x[0] == "\n" or not _whole(x)) for x in firsts], bool)
-        codes = self._codes(known, odd)
-        number = {x: len(known) + k for k, x in enumerate(dict.fromkeys(x for x in firsts if x))}
+        found = pc.index_in(words, value_set=self.known)
+        lost = np.asarray(found.is_null())
+        which = found.fill_null(0).to_numpy(zero_copy_only=False).copy()
+        new = words.filter(pa.array(lost)).dictionary_encode()
+        names, base = new.dictionary.to_pylist(), self.codes
+        codes, odd = self._learn(names)
+        which[lost] = new.indices.to_numpy() + len(base)
+        uneven_chunk = np.zeros(len(words), np.int64)
+        uneven_chunk[lost] = odd[new.indices.to_numpy()]
+        firsts = words.take(pa.array(starts)).to_pylist()
+        uneven_chunk[starts] = [bool(x) and not _whole(x) for x in firsts]
+        uneven = np.add.reduceat(uneven_chunk, starts) > 0
+        number = {x: len(base) + len(codes) + k for k, x in enumerate(dict.fromkeys(x for x in firsts if x))}
         codes += [*self.encode(list(number)), b""]
-        which[starts] = [number.get(x, len(codes) - 1) for x in firsts]
-        which[np.repeat(uneven, np.diff(ends))] = len(codes) - 1
-        out = pa.array(codes, pa.binary()).take(pa.array(which))
+        nothing = len(base) + len(codes) - 1
+        which[starts] = [number.get(x, nothing) for x in firsts]
+        which[np.repeat(uneven, np.diff(ends))] = nothing
+        out = pa.concat_arrays([base, pa.array(codes, pa.binary())]).take(pa.array(which))
         offsets = np.frombuffer(out.buffers()[1], np.int32, len(out) + 1, out.offset * 4)[ends]
-        found = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(offsets)), out.buffers()[2] or pa.py_buffer(b"")])
+        done = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(offsets)), out.buffers()[2] or pa.py_buffer(b"")])
         if not uneven.any():
-            return found
+            return done
         rest = iter(self._uneven(texts.filter(pa.array(uneven)).to_pylist()))
-        return pa.array([next(rest) if u else x for u, x in zip(uneven, found.to_pylist(), strict=True)], pa.binary())
-
-    def _codes(self, chunks: list[str], odd: np.ndarray) -> list[bytes]:
-        """The codes of chunks that stand behind a space or begin with a line end; those marked odd are left empty."""
-        memo = self.memo
-        out = list(map(memo.get, chunks))
-        lost = [k for k, x in enumerate(out) if x is None and not odd[k]]
-        for k in np.flatnonzero(odd).tolist():
-            out[k] = b""
-        if not lost:
-            return out
+        return pa.array([next(rest) if u else x for u, x in zip(uneven, done.to_pylist(), strict=True)], pa.binary())
+
+    def _lookup(self, names: list[str]) -> list[bytes | None]:
+        at = pc.index_in(pa.array(names, pa.string()), value_set=self.known)
+        return self.codes.take(at).to_pylist()
+
+    def _learn(self, names: list[str], all_whole: bool = False) -> tuple[list[bytes], np.ndarray]:
+        """The codes of different chunks that are not known, and whether each is odd, with white space at its edges; the codes of
+        those are left empty unless all_whole says that they are pieces too."""
+        odd = np.array([not _whole(x) for x in names], bool)
         # a word with marks behind it goes as two pieces, of which the first may be known
-        parts = [(c, "") if (word := c.rstrip(_TAIL)) == c or not word[word[:1] == "\n" :].isalpha() else (word, c[len(word) :]) for c in (chunks[k] for k in lost)]
-        words = list(dict.fromkeys(w for w, _ in parts if w not in memo))
+        parts = [(c, "") if (word := c.rstrip(_TAIL)) == c or not word[word[:1] == "\n" :].isalpha() else (word, c[len(word) :]) for c in names]
+        own = {w: code for w, code in zip(words, self._lookup(words), strict=True) if code is not None} if (words := list(dict.fromkeys(w for w, t in parts if t))) else {}
+        fresh = list(dict.fromkeys(w for (w, _), o in zip(parts, odd, strict=True) if w not in own and (all_whole or not o)))
         tails = list(dict.fromkeys(t for _, t in parts if t and t not in self.tails))
-        codes = self.encode([*(w if w[0] == "\n" else f" {w}" for w in words), *tails])
-        own = dict(zip(words, codes, strict=False))
+        got = self.encode([*(w if w[0] == "\n" else f" {w}" for w in fresh), *tails])
+        own |= zip(fresh, got, strict=False)
         if len(self.tails) > 10_000:
             self.tails = {t: self.tails[t] for _, t in parts if t in self.tails}
-        self.tails |= zip(tails, codes[len(words) :], strict=True)
-        for k, (w, t) in zip(lost, parts, strict=True):
-            code = own[w] if w in own else memo[w]
-            out[k] = code + self.tails[t] if t else code
-            own[chunks[k]] = out[k]
-        if len(memo) > self.limit:
-            self.missed += len(lost)
+        self.tails |= zip(tails, got[len(fresh) :], strict=True)
+        out = [own[w] + self.tails[t] if t else own.get(w, b"") for w, t in parts]
+        if len(self.known) > self.limit:
+            self.missed += len(names)
             if self.missed > 10 * self.limit:
-                self.missed = 0
-                self.memo = {"": b""}
+                self._empty()
         else:
-            memo.update((c, x) for c, x in own.items() if len(c) <= self.longest)
-        return out
+            kept = [k for k, (c, o) in enumerate(zip(names, odd, strict=True)) if not o and len(c) <= self.longest]
+            self.known = pa.concat_arrays([self.known, pa.array([names[k] for k in kept], pa.string())])
+            self.codes = pa.concat_arrays([self.codes, pa.array([out[k] for k in kept], pa.binary())])
+        return out, odd
 
     def _uneven(self, texts: list[str]) -> list[bytes]:
         """The codes of texts with other white space than single blanks."""
         cut = [_BETWEEN.split(t) for t in texts]
-        rest = list(dict.fromkeys(c for first, *own in cut for c in own))
+        rest = list(dict.fromkeys(c for _, *own in cut for c in own))
         firsts = list(dict.fromkeys(first for first, *_ in cut if first))
-        code_of = dict(zip(rest, self._codes(rest, np.zeros(len(rest), bool)), strict=True))
+        code_of = dict(zip(rest, self._lookup(rest), strict=True))
+        lost = [c for c in rest if code_of[c] is None]
+        code_of |= zip(lost, self._learn(lost, True)[0], strict=True)
         first_code = {"": b""} | dict(zip(firsts, self.encode(firsts), strict=True))
         return [first_code[first] + b"".join(map(code_of.__getitem__, own)) for first, *own in cut]

@@ -41,7 +41,7 @@ from .common import ChunkMemo, broadcast_if_small, by_batch, cuts_at_blanks, sha
 NO_ID = -(1 << 63)
 SHARD_SCHEMA = "part int, shard int, first bigint, last bigint, n_docs int, n_ids bigint, keys binary, payload binary, seeds binary, slots binary"
 SLOT = np.dtype([("print", "<u4"), ("offset", "<u8"), ("count", "<u4")])
-PER_BUCKET, ALONE = 3, 1 << 31
+PER_BUCKET, ALONE, TOGETHER, AT_ONCE = 3, 1 << 31, 12, 200
 #: Rows sampled for each range that the documents are dealt out by, and for all together.
 SAMPLED, SAMPLED_ALL = 100, 1_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -85,8 +85,7 @@ def perfect_hash(h: np.ndarray) -> np.ndarray:
     for size in range(sizes.max(initial=0), 1, -1):
         left = np.flatnonzero(sizes == size)
         keys = h[order[begin[left][:, None] + np.arange(size)]]
-        seed = 0
-        while len(left):  # all buckets of this size try a displacement at once; of those in each other's way the first stays
+        for seed in range(TOGETHER):  # all buckets of this size try a displacement at once; of those in each other's way the first stays
             spots = place(keys, np.full(1, seed), n)
             good = ~taken[spots].any(1)
             across = np.sort(spots, axis=1)
@@ -99,7 +98,19 @@ def perfect_hash(h: np.ndarray) -> np.ndarray:
             seeds[left[wins]] = seed
             rest = np.ones(len(left), bool)
             rest[wins] = False
-            left, keys, seed = left[rest], keys[rest], seed + 1
+            left, keys = left[rest], keys[rest]
+            if not len(left):
+                break
+        for b, own in zip(left.tolist(), keys, strict=True):  # the others each try many displacements at once
+            seed = TOGETHER
+            while True:
+                spots = place(own, np.arange(seed, seed + AT_ONCE)[:, None], n)
+                good = np.flatnonzero(~taken[spots].any(1) & (np.diff(np.sort(spots, axis=1), axis=1) > 0).all(1))
+                if len(good):
+                    break
+                seed += AT_ONCE
+            taken[spots[good[0]]] = True
+            seeds[b] = seed + good[0]
     alone = np.flatnonzero(sizes == 1)
     seeds[alone] = np.flatnonzero(~taken) + ALONE
     return seeds
@@ -145,6 +156,13 @@ def pack(part: int, shard: int, keys: np.ndarray, counts: np.ndarray, payload: b
     }
 
 
+def id_width(tokenizer) -> int:
+    """Bytes of an id, of a tokenizer or its file."""
+    from tokenizers import Tokenizer
+
+    return 2 if (Tokenizer.from_file(tokenizer) if isinstance(tokenizer, str) else tokenizer).get_vocab_size() <= 1 << 16 else 4
+
+
 class LibraryCoder:
     """Encodes pieces of texts with the tokenizers library. Pieces without line ends go through it in one string, with line
     ends between them: the split pattern makes a line end before a space or a word a token of its own."""
@@ -156,7 +174,7 @@ class LibraryCoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.width = id_width(self.library)
         line_end = self.library.encode("\n", add_special_tokens=False).ids
         probe = self.library.encode(" a\n b\nc", add_special_tokens=False).ids
         self.line_end = line_end[0] if len(line_end) == 1 and probe.count(line_end[0]) == 2 else None
@@ -284,9 +302,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
         order = [batch.column(k).to_numpy() for k in range(3)]
         return {"part": range_of(order, bounds)} | {str(k): batch.column(k) for k in range(3)} | {"ids": _coder(tokenizer).batch(batch.column(3))}
 
+    width = id_width(tokenizer)
+    end = np.array([end_id], f"<u{width}").tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = _coder(tokenizer).width
-        end = np.array([end_id], f"<u{width}").tobytes()
         part, shard, held, size = 0, 0, [], 0
 
         def full() -> pa.RecordBatch:

@@ -66,4 +66,4 @@ def test_a_full_memo_changes_nothing():
     memo = ChunkMemo(lambda pieces: seen.extend(pieces) or [p.encode() for p in pieces], limit=5)
     texts = [f"w{k} w{k}, x{k % 3}.\ny{k % 7} z" for k in range(300)]
     assert [x.decode() for x in memo.batch(pa.array(texts)).to_pylist()] == texts
-    assert [memo(t).decode() for t in texts] == texts and len(memo.memo) < 1500
+    assert [memo(t).decode() for t in texts] == texts and len(memo.known) < 1500
