@@ -329,10 +329,12 @@ def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(7, " ".join(common * 8)), (8, None), (9, "two words"), (10, "")], "item_id bigint, text string")
     found = {(x.doc_id, x.item_id) for x in decontam.find_leaks(table, bench).collect()}
     assert {x for x in found if x[1] != 7} == {(1, 0), (2, 1), (5, 3), (6, 0), (6, 4), (None, 0)} | {(k, 4) for k in range(20, 60)}
-    assert decontam.find_leaks(table, bench, block_words=20).count() == len(found)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(decontam.find_leaks(table, bench, broadcast_bytes=0)) == rows(decontam.find_leaks(table, bench))
     kept = decontam.drop_leaks(table, bench)
     assert kept.columns == table.columns and sorted(x.doc_id for x in kept.collect() if x.doc_id != 7) == [1, 3, 4, 8, 9]
-    assert decontam.drop_leaks(table, bench, block_words=20).count() == kept.count()
+    assert rows(decontam.drop_leaks(table, bench, broadcast_bytes=0)) == rows(kept)
+    assert decontam.find_leaks(empty, bench, broadcast_bytes=0).count() == 0 and decontam.find_leaks(table, bench.limit(0), broadcast_bytes=-1).count() == 0
     assert decontam.find_leaks(empty, bench).count() == 0 and decontam.find_leaks(table, bench.limit(0)).count() == 0 and decontam.drop_leaks(docs, bench.limit(0)).count() == docs.count()
 
 
