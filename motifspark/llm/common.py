@@ -66,6 +66,11 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.
     return df.mapInArrow(run, kind)
 
 
+def binaries(columns: list[np.ndarray], cuts: np.ndarray) -> list[pa.Array]:
+    """Arrays cut at the same places, as binary columns."""
+    return [pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x in columns]
+
+
 #: Letters of several kinds, digits, punctuation, marks and symbols: what patterns of tokenizers tell apart.
 _KINDS = "aZé中1½.'s-$\u0301😀"
 #: Marks that often stand behind a word.

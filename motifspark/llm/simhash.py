@@ -12,7 +12,9 @@ the join. Distinct fingerprints are joined, so groups of copies count once.
 Components of the links are found by alternating large-star and small-star steps, each written to the shared folder.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint zero; repeated rows and ids keep their rows;
-rows with a null id are linked like others but never name a component, unless nothing else does (then null).
+rows with a null id are linked like others but never name a component, unless nothing else does (then null); a bit set in
+exactly half the shingles is 0; an empty table gives an empty result; columns of docs other than those named are ignored by
+near_duplicates() and kept by keep_first(), whatever their names. A task needs some 100 bytes for each word of its longest text.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, with_fields, written
+from .common import by_batch, discard, unused, with_fields, written
 from .similar import similar
 
 #: Blocks of the embedding in segments of two bits: together 32.
@@ -101,6 +103,8 @@ def components(edges: DataFrame, persist: Callable[[DataFrame, str], DataFrame]
         small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").where("a < b").distinct()
         new = persist(small, "components")
         sign = [d.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first() for d in (now, new)]
+        if hasattr(now, "_written_at"):
+            discard(now)
         now = new
         if sign[0] == sign[1]:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
@@ -121,10 +125,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One document of each group of near-duplicates, that with the smallest id, with the columns of docs. Near-duplicates are
     connected by pairs of Jaccard similarity 0.8 or more over `width`-word shingles, all of which similar() finds; no small
     Hamming radius covers them, as two such fingerprints differ by about 10 bits and often more. Rows are told apart by id and text; of rows that are equal in both, one stays. Documents without id come after all others."""
-    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
-    found = written(similar(docs.select(key.alias("__key"), F.col(text_col).alias("__text")), components, "__key", "__text", width), "near-duplicates")
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("__rows"))
-    out = docs.withColumn("__key", key).join(kept, "__key", "left_semi")
-    if not kept.where("__rows > 1").isEmpty():
-        out = out.dropDuplicates(["__key"])
+    p = unused(docs)
+    name, text, rows = f"{p}key", f"{p}text", f"{p}rows"
+    key = F.struct(F.col(f"`{id_col}`").isNull().alias("n"), F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h"))
+    found = written(similar(docs.select(key.alias(name), F.col(f"`{text_col}`").alias(text)), components, name, text, width), "near-duplicates")
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias(rows))
+    out = docs.withColumn(name, key).join(kept, name, "left_semi")
+    if not kept.where(F.col(rows) > 1).isEmpty():
+        out = out.dropDuplicates([name])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, by_batch, discard, written
+from .common import binaries, broadcast_if_small, by_batch, discard, written
 
 STRING, GRAM = 50, 16
 SPAN = STRING - GRAM + 1
@@ -384,11 +384,6 @@ def hot_grams(rows: DataFrame, n: int) -> HotGrams:
     return HotGrams(some.repartition(1).mapInArrow(count, "gram bigint").toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
 
 
-def _binaries(columns: list[np.ndarray], cuts: np.ndarray) -> list[pa.Array]:
-    """Arrays cut at the same places, as binary columns."""
-    return [pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x in columns]
-
-
 def _marks(h: np.ndarray) -> np.ndarray:
     """32 bits of anchors' hashes, by which a document finds its shared ones again: a wrong one costs a comparison only."""
     return (h >> 6).astype(np.int32)
@@ -410,7 +405,7 @@ def _shared(rows: DataFrame, hot: HotGrams) -> DataFrame:
         doc, rid = (batch.column(k).to_numpy()[row] for k in (0, 1))
         bucket = np.where(h < 0, buckets + doc[0] % buckets, (h >> 32) * buckets >> 31).astype(np.int32)
         cuts = np.append(np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1]), len(h))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *_binaries([h, doc, rid], cuts)], names=["bucket", "h", "doc_id", "rid"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *binaries([h, doc, rid], cuts)], names=["bucket", "h", "doc_id", "rid"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

@@ -47,3 +47,9 @@ def test_near_dedup_equals_brute_force(spark):
     assert found == want
     kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
+
+
+def test_columns_named_like_the_working_ones(spark):
+    rows = [(k, text, "en", "a", 0, 7, "x", k, 1) for k, text in enumerate(["a b c d e f g", "a b c d e f g", "h i j k l m", None, ""])]
+    docs = spark.createDataFrame(rows, SCHEMA + ", __key int, __text string, __needed int, component_id int")
+    assert sorted(map(tuple, simhash.keep_first(docs).collect())) == [rows[0], rows[2], rows[3]]
