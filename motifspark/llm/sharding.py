@@ -6,7 +6,9 @@ it works on the ordered sums of groups whose digests share a prefix, treats such
 once as whole (upper bound), and refines only the bins that a cut can fall into until both bounds agree. The capacity found is
 therefore the exact optimum over all groups, with at most LEVEL_ONE + some hundred rows on the driver at each step.
 
-A null text counts as a group of its own with no bytes; an empty text is another group. Repeated rows and ids keep their rows.
+Defined cases: a null text counts as a group of its own with no bytes, an empty text is another group; repeated rows and ids
+keep their rows, all in the shard of their text, in any order; fewer groups than shards leave shards empty; an empty table gives
+an empty result; columns of docs other than the two named are ignored. Texts never leave the JVM.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import broadcast_if_small, discard, written
 
 #: Digits of the digest that make the first bins: 16 ** 3 of them.
 FIRST_DIGITS, MORE_DIGITS, DIGEST_DIGITS = 3, 2, 64
@@ -95,27 +97,35 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
     return high, [atoms[k][0] for k, _ in greedy(atoms, shards, high, False)[1]]
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", cells: int = 512) -> DataFrame:
+#: Rows of a cell in which slots are counted, about, and cells of a shard at least.
+CELL_ROWS, LEAST_CELLS = 50_000, 512
+
+
+def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", broadcast_cells: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, size (UTF-8 bytes plus 1), text_crc32, law ('bytes'), shard, slot (gapless from 0 in each
     shard), grown_shard (null: this law promises nothing for another number of shards).
 
-    Texts are read once, into a narrow table in the shared folder. Slots are counted in `cells` cells of each shard, dealt by
-    the id's hash, so no task holds a shard or a hot group.
+    Texts are read once, into a narrow table in the shared folder. Slots are counted in cells of each shard, as many as the rows
+    ask for, which the number of a row in that table deals out: rows that are equal spread like all others.
     """
     text = F.col(text_col)
     narrow = written(
         docs.select(
             F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.sha2(text.cast("binary"), 256), F.lit("")).alias("digest"),
+            F.monotonically_increasing_id().alias("number"),
         ),
         "shard-sizes",
     )
-    _, cuts = minimax_cuts(written(narrow.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups"), shards)
+    groups = written(narrow.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups")
+    _, cuts = minimax_cuts(groups, shards)
+    discard(groups)
+    cells = max(LEAST_CELLS, narrow.count() // CELL_ROWS)
     shard = sum((F.when(F.col("digest") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-    placed = narrow.withColumn("shard", shard).withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(cells)).cast("int"))
+    placed = narrow.withColumn("shard", shard).withColumn("cell", F.pmod(F.xxhash64("number"), F.lit(cells)).cast("int"))
     counts = placed.groupBy("shard", "cell").count()  # shards x cells rows at most
     before = counts.select("shard", "cell", (F.sum("count").over(Window.partitionBy("shard").orderBy("cell")) - F.col("count")).alias("before"))
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "digest")))
-    return ranked.join(F.broadcast(before), ["shard", "cell"]).select(
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "digest", "number")))
+    return ranked.join(broadcast_if_small(before, broadcast_cells), ["shard", "cell"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -2,7 +2,8 @@
 short hash prefixes; full digests then confirm, and the longest rule wins. DataFrame functions only.
 
 Null URLs and URLs without "://" have an empty host and path, fit no rule and get the default verdict; so do hosts without a
-rule. Repeated pages and page ids keep their rows. Columns of `pages` other than the two named are ignored.
+rule. Repeated pages and page ids keep their rows. Columns of `pages` other than the two named are ignored. An empty table of
+pages gives an empty result, an empty table of rules the default verdict.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ A word is a maximal run of characters other than space and 09-0D; the mark of a
 vocabulary entry is taken again and again from the left. A word that gets stuck counts as one unknown token. Every character
 moves the automaton down the trie once and every link moves it up, so a word takes time linear in its length.
 
-Defined cases: a null text is an empty one and has no tokens; repeated rows are counted as they are.
+Defined cases: a null or empty text has no words and no tokens; repeated rows and ids are counted as they are; an empty table
+gives an empty result; of entries that fit, the longest is taken, so there are no ties; columns of docs other than the two named
+are ignored. A task needs some 100 bytes for each word of its longest text.
 """
 
 from __future__ import annotations

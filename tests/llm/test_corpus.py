@@ -120,8 +120,14 @@ def test_greedy_search_is_exact_on_groups(sizes, shards):
     assert sharding.smallest(atoms, shards, max(sizes), False) == smallest_capacity(sizes, shards)
 
 
-def test_sharding_odd_rows(odd, empty):
-    assert sharding.assign_shards(odd).count() == 6
+def test_sharding_odd_rows(spark, odd, empty):
+    found = sharding.assign_shards(odd, 3).collect()
+    texts = [(r.doc_id, r.text) for r in odd.collect()]
+    assert sorted((repr(x.doc_id), x.size, x.text_crc32) for x in found) == sorted((repr(d), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in texts)
+    assert sorted((x.shard, x.slot) for x in found) == [(s, k) for s in range(3) for k in range(sum(x.shard == s for x in found))]
+    same = spark.createDataFrame([(1, "equal")] * 3000 + [(2, "other")], "doc_id bigint, text string").repartition(4)
+    placed = sharding.assign_shards(same, 2, broadcast_cells=10)
+    assert sorted((x.shard, x.slot) for x in placed.collect()) in ([(0, k) for k in range(3000)] + [(1, 0)], [(0, 0)] + [(1, k) for k in range(3000)])
     assert sharding.assign_shards(empty).count() == 0
 
 
@@ -150,7 +156,11 @@ def test_quality_counts_and_verdicts(docs, rows, odd, empty):
     kept = {r.doc_id for r in quality.keep_good(docs).collect()}
     assert kept == {d for d, x in found.items() if x["kept"]}
     assert quality.keep_good(docs).columns == docs.columns
-    assert quality.quality_table(odd).count() == 6 and quality.quality_table(empty).count() == 0 and quality.keep_good(empty).count() == 0
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    want = [(r.doc_id, *counted(r.text)) for r in odd.collect()]
+    assert sorted((tuple(x) for x in quality.quality_table(odd).select("doc_id", *counts).collect()), key=repr) == sorted(want, key=repr)
+    assert not any(x.kept for x in quality.quality_table(odd).collect())  # all repeat or are short
+    assert quality.quality_table(empty).count() == 0 and quality.keep_good(empty).count() == 0
 
 
 def test_sketch_buckets_are_ordered_and_close(spark):
@@ -195,7 +205,8 @@ def test_secret_scan(docs, rows, odd, empty):
     clean = got(secret_scan.redact(docs))
     assert clean[101]["text"] == 'x [secret]" [secret] token=abc é [secret]"'
     assert clean[101]["n_chars"] == len(clean[101]["text"]) and clean[0]["text"] == rows[0][1] and secret_scan.redact(docs).columns == docs.columns
-    assert secret_scan.scan(odd).count() == 6 and secret_scan.scan(empty).count() == 0 and secret_scan.redact(odd).count() == 6
+    assert secret_scan.scan(empty).count() == 0 and {x.spans for x in secret_scan.digest(secret_scan.scan(odd)).collect()} == {""}
+    assert sorted(map(tuple, secret_scan.redact(odd).collect()), key=repr) == sorted(map(tuple, odd.collect()), key=repr)
 
 
 # --- 4
@@ -231,7 +242,10 @@ def test_simhash_components(docs, rows, odd, empty):
     assert {d: x["component_id"] for d, x in found.items()} == want
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
-    assert simhash.near_duplicates(odd).count() == 6 and simhash.near_duplicates(empty).count() == 0
+    texts = [(r.doc_id, simhash_of(r.text)) for r in odd.collect()]
+    least = lambda p: min((d for d, q in texts if d is not None and q == p), default=None)
+    assert sorted(((x.doc_id, x.fp % (1 << 64), x.component_id) for x in simhash.near_duplicates(odd).collect()), key=repr) == sorted(((d, p, least(p)) for d, p in texts), key=repr)
+    assert simhash.near_duplicates(empty).count() == 0
     assert sorted(str(r.doc_id) for r in simhash.keep_first(odd).collect()) == ["1", "1", "None"] and simhash.keep_first(empty).count() == 0
 
 
@@ -290,7 +304,7 @@ def test_token_counts(docs, rows, odd, empty):
                 rest, n = rest[take:], n + 1
             total += n
         assert (found[d]["n_words"], found[d]["n_tokens"], found[d]["n_unknown"]) == (len(words), total, unknown)
-    assert wordpiece.token_counts(odd, path).count() == 6 and wordpiece.token_counts(empty, path).count() == 0
+    assert sorted(x.n_words for x in wordpiece.token_counts(odd, path).collect()) == [0, 4, 80, 80, 80, 80] and wordpiece.token_counts(empty, path).count() == 0
 
 
 # --- 6
@@ -408,7 +422,8 @@ def test_byte_bpe(docs, rows, library, odd, empty):
         assert found[d]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     again = rank_bpe.decode_ids(rank_bpe.encode_texts(docs, RANKS, P.PATTERN), RANKS, P.PATTERN)
     assert {r.doc_id: bytes(r.text_bytes) for r in again.collect()} == {d: (t or "").encode() for d, t, *_ in rows}
-    assert rank_bpe.encoding_table(odd, RANKS, P.PATTERN).count() == 6 and rank_bpe.encoding_table(empty, RANKS, P.PATTERN).count() == 0
+    digests = sorted((repr(r.doc_id), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd.collect())
+    assert sorted((repr(x.doc_id), x.decoded_sha256) for x in rank_bpe.encoding_table(odd, RANKS, P.PATTERN).collect()) == digests and rank_bpe.encoding_table(empty, RANKS, P.PATTERN).count() == 0
 
 
 # --- 9
