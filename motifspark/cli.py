@@ -7,9 +7,8 @@ import time
 
 from pyspark.sql import SparkSession
 
-from .plans.mine import mine
-from .sources.readers import read_graph_db, read_templates
-from .sources.writers import format_patterns, write_patterns
+from .api import Miner
+from .sources.writers import format_patterns
 
 
 def parser() -> argparse.ArgumentParser:
@@ -19,30 +18,25 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-l", "--min_nodes", type=int, default=1)
     p.add_argument("-u", "--max_nodes", type=float, default=float("inf"))
     p.add_argument("-n", "--num_nodes", type=int, help="exact number of nodes; overrides -l and -u")
-    p.add_argument("-d", "--directed", type=int, default=0, choices=(0, 1))
+    p.add_argument("-d", "--is_directed", "--directed", dest="directed", type=int, default=0, choices=(0, 1))
     p.add_argument("-m", "--show_mappings", type=int, default=0, choices=(0, 1))
     p.add_argument("-f", "--with_frequencies", type=int, default=0, choices=(0, 1))
     p.add_argument("-t", "--templates_file", "--templates_path", dest="templates_file")
     p.add_argument("-x", "--pattern_type", default="all", choices=("all", "maximum"))
     p.add_argument("-o", "--output_path")
-    p.add_argument("-w", "--workers", type=int, help="local cores, where no cluster is set")
+    p.add_argument("-w", "--worker", "--workers", dest="workers", type=int, help="local cores, where no cluster is set")
     return p
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(args)
-    if spark is None:
-        builder = SparkSession.builder.appName("motifspark")
-        spark = (builder.master(f"local[{a.workers}]") if a.workers else builder).getOrCreate()
     low, high = (a.num_nodes, a.num_nodes) if a.num_nodes else (a.min_nodes, a.max_nodes)
     print(f"database {a.db_file}, support {a.support:g}, nodes {low} to {high:g}, {'directed' if a.directed else 'undirected'}, {a.pattern_type} patterns")
+    job = Miner(a.db_file, a.support, low, high, a.templates_file, bool(a.show_mappings), a.output_path, bool(a.directed), bool(a.with_frequencies), a.pattern_type, a.workers)
+    spark = spark or job.session()
     began = time.time()
     try:
-        db = read_graph_db(spark, a.db_file, directed=bool(a.directed)).persist()
-        templates = read_templates(spark, a.templates_file) if a.templates_file else None
-        found = mine(db, a.support, low, high, templates, a.pattern_type)
-        if a.output_path:
-            write_patterns(found, a.output_path, bool(a.with_frequencies), bool(a.show_mappings))
+        found = job.mine(spark)
         for row in format_patterns(found, bool(a.with_frequencies), bool(a.show_mappings)).orderBy("number").toLocalIterator():
             print(row.value)
     except KeyboardInterrupt:

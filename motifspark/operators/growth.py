@@ -111,7 +111,7 @@ def edge_extensions(missing: DataFrame, least: int) -> DataFrame:
     held = by_graph.join(options, keys).where(includes(F.col("bag"), F.col("part"))).select(*keys, F.col("part").alias("bag"), "graph_id").distinct()
     h = F.xxhash64("graph_id")
     sets = held.groupBy(*keys, "bag").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 40))).alias("s")).where(F.col("n") >= least)
-    sets = sets.withColumn("group", F.xxhash64("n", "x", "s"))
+    sets = sets.withColumn("group", F.struct("n", "x", "s"))
     one = sets.withColumn("k", F.row_number().over(Window.partitionBy("pattern_id", "group").orderBy("i", "j", "bag"))).where("k = 1").select("pattern_id", "group", "i", "j", "bag", F.col("n").alias("graphs"))
     members = held.join(one, [*keys, "bag"]).select("pattern_id", "group", "graphs", "graph_id")
     able = held.join(sets.select(*keys, "bag"), [*keys, "bag"], "left_semi")

@@ -7,6 +7,8 @@ triples ('': any type).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -97,22 +99,55 @@ def degree_domain(db: GraphDB, query: Query) -> DataFrame:
     return out
 
 
-def match(db: GraphDB, query: Query, symmetric: bool = False, counts: dict[int, int] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Parts:
+    """The exchangeable parts of match(): what it may leave out before the joins, the order of the joins, and which mappings
+    stand for those that the query's automorphisms turn them into. Filters change the plan only; the symmetry changes results."""
+
+    #: (graph_id) of graphs that may hold the query; None: all may.
+    graphs: Callable[[GraphDB, Query], DataFrame] | None = None
+    #: (node, graph_id, node_id) of nodes that a query node may be mapped to; None: by labels alone.
+    domain: Callable[[GraphDB, Query], DataFrame] | None = None
+    #: The order in which the query's edges are joined.
+    order: Callable[[GraphDB, Query], list[int]] = lambda db, query: edge_order(query)
+    #: The automorphisms of which one mapping stays.
+    symmetry: Callable[[list, list, bool], list[list[int]]] = automorphisms
+
+
+#: Nothing but the joins: best for queries that most graphs hold.
+PLAIN = Parts()
+#: Graphs and nodes are filtered and rare edges come first: best for queries that few graphs hold.
+SELECTIVE = Parts(vocabulary_filter, degree_domain, lambda db, query: edge_order(query, edge_counts(db, query)))
+
+
+def match(db: GraphDB, query: Query, symmetric: bool = False, counts: dict[int, int] | None = None, parts: Parts = PLAIN, with_labels: bool = False) -> DataFrame:
     """(graph_id, node_map, keys, types): every way to map the query's nodes to different nodes and its edges to different
     edges; keys and types of the edges in the query's order. Of mappings that the query's automorphisms, or exchanges of equal
-    parallel edges, turn into each other, one stays (the smallest), or with symmetric all."""
+    parallel edges, turn into each other, one stays (the smallest), or with symmetric all. With with_labels also labels: the
+    whole label list of each mapped node. counts: edge_counts() if known, for the order of the joins."""
     labels, edges = query
     n = len(labels)
     if not n or not connected(n, edges):
         raise ValueError("a query must have a node and be connected")
+    if parts.graphs:
+        may = parts.graphs(db, query)
+        db = GraphDB(db.nodes.join(may, "graph_id", "left_semi"), db.edges.join(may, "graph_id", "left_semi"), db.directed)
+    domain = parts.domain(db, query) if parts.domain else None
     array = lambda xs, kind: F.array(*xs).cast(f"array<{kind}>") if xs else F.expr(f"cast(array() as array<{kind}>)")
     wanted = lambda v: includes(F.col("labels"), array([F.lit(x) for x in labels[v]], "string"))
-    ends = {v: db.nodes.where(wanted(v)).select("graph_id", F.col("node_id").alias(f"n{v}")) for v in range(n) if labels[v]}
+    ends = {}
+    for v in range(n):
+        if labels[v] or domain is not None or with_labels:
+            fit = db.nodes.where(wanted(v)) if labels[v] else db.nodes
+            if domain is not None:
+                fit = fit.join(domain.where(F.col("node") == v).select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi")
+            ends[v] = fit.select("graph_id", F.col("node_id").alias(f"n{v}"), *([F.col("labels").alias(f"l{v}")] if with_labels else []))
+    whole = [F.array(*(F.col(f"l{v}") for v in range(n))).alias("labels")] if with_labels else []
     if not edges:
         found = ends.get(0, db.nodes.select("graph_id", F.col("node_id").alias("n0")))
-        return found.select("graph_id", F.array("n0").alias("node_map"), array([], "int").alias("keys"), array([], "string").alias("types"))
+        return found.select("graph_id", F.array("n0").alias("node_map"), array([], "int").alias("keys"), array([], "string").alias("types"), *whole)
     found, bound = None, set()
-    for k in edge_order(query, counts):
+    for k in edge_order(query, counts) if counts else parts.order(db, query):
         s, d, t = edges[k]
         e = fitting_edges(db, query, k).select("graph_id", F.col("s").alias(f"n{s}"), *([F.col("d").alias(f"n{d}")] if s != d else []), F.col("key").alias(f"k{k}"), F.col("type").alias(f"t{k}"), F.col("turned").alias(f"w{k}"))
         new = sorted({s, d} - bound)
@@ -137,17 +172,10 @@ def match(db: GraphDB, query: Query, symmetric: bool = False, counts: dict[int,
         bound |= {s, d}
     if not symmetric:
         here = array([F.col(f"n{v}") for v in range(n)], "bigint")
-        for image in automorphisms(labels, edges, db.directed):
+        for image in parts.symmetry(labels, edges, db.directed):
             if image != list(range(n)):
                 found = found.where(here <= array([F.col(f"n{image[v]}") for v in range(n)], "bigint"))
-    return found.select("graph_id", array([F.col(f"n{v}") for v in range(n)], "bigint").alias("node_map"), array([F.col(f"k{k}") for k in range(len(edges))], "int").alias("keys"), array([F.col(f"t{k}") for k in range(len(edges))], "string").alias("types"))
-
-
-def with_labels(db: GraphDB, rows: DataFrame, n: int) -> DataFrame:
-    """rows with labels: the whole label list of each mapped node."""
-    for v in range(n):
-        rows = rows.withColumn("__v", F.get("node_map", F.lit(v))).join(db.nodes.select("graph_id", F.col("node_id").alias("__v"), F.col("labels").alias(f"__l{v}")), ["graph_id", "__v"]).drop("__v")
-    return rows.withColumn("labels", F.array(*(F.col(f"__l{v}") for v in range(n)))).drop(*(f"__l{v}" for v in range(n)))
+    return found.select("graph_id", array([F.col(f"n{v}") for v in range(n)], "bigint").alias("node_map"), array([F.col(f"k{k}") for k in range(len(edges))], "int").alias("keys"), array([F.col(f"t{k}") for k in range(len(edges))], "string").alias("types"), *whole)
 
 
 def pair_profile(db: GraphDB) -> DataFrame:

@@ -80,9 +80,10 @@ def seeds(db: GraphDB, least: int, templates: list | None) -> tuple[DataFrame, D
     for labels, edges in templates:
         if not connected(len(labels), edges):
             raise ValueError("a template must be connected")
-        rows = matching.match(db, (labels, edges), symmetric=True)
         n = len(labels)
-        if all(labels) and all(t for _, _, t in edges):
+        whole = all(labels) and all(t for _, _, t in edges)
+        rows = matching.match(db, (labels, edges), symmetric=True, counts=matching.edge_counts(db, (labels, edges)) if len(edges) > 1 else None, with_labels=not whole)
+        if whole:
             code, _ = canonical(labels, edges, db.directed)
             spark = db.nodes.sparkSession
             one = spark.createDataFrame([(labels, [{"src": s, "dst": d, "type": t} for s, d, t in edges], code)], f"labels array<array<string>>, edges {growth.EDGE_LIST}, code string").withColumn("pattern_id", F.xxhash64("code"))
@@ -90,9 +91,8 @@ def seeds(db: GraphDB, least: int, templates: list | None) -> tuple[DataFrame, D
             embs.append(rows.select(F.xxhash64(F.lit(code)).alias("pattern_id"), "graph_id", "node_map").distinct())
             continue
         ends = [(s, d) for s, d, _ in edges]
-        images = matching.with_labels(db, rows, n)
         kinds = F.array(*(F.struct(F.lit(s).alias("src"), F.lit(d).alias("dst"), F.get("types", F.lit(k)).alias("type")) for k, (s, d) in enumerate(ends))) if ends else F.expr(f"cast(array() as {growth.EDGE_LIST})")
-        images = written(images.select("graph_id", "node_map", "labels", F.array_sort(kinds).alias("edges")).distinct(), "template-images")
+        images = written(rows.select("graph_id", "node_map", "labels", F.array_sort(kinds).alias("edges")).distinct(), "template-images")
 
         schema = f"labels array<array<string>>, edges {growth.EDGE_LIST}, code string, places array<int>"
 
@@ -126,8 +126,7 @@ def mine(db: GraphDB, support: float, min_nodes: int = 1, max_nodes: float = flo
     patterns, embeddings = seeds(db, least, templates)
     columns = ["labels", "edges", "code", "pattern_id", "n_nodes"]
     patterns = patterns.select(*columns)
-    bags = written(db.pair_bags(), "pair-bags") if max_nodes > 1 else None
-    inner = None
+    bags = inner = None
     size = max((len(labels) for labels, _ in templates or []), default=1)  # of the level's largest patterns
     seen, kept, kept_embeddings = patterns.select("code"), [], []
     while not patterns.isEmpty():
@@ -135,6 +134,7 @@ def mine(db: GraphDB, support: float, min_nodes: int = 1, max_nodes: float = flo
         open_ids = patterns.where(F.col("n_nodes") < F.lit(float(max_nodes))).select("pattern_id")
         grows = not open_ids.isEmpty()
         if grows:
+            bags = bags or written(db.pair_bags(), "pair-bags")
             around = growth.neighbours(embeddings.join(open_ids, "pattern_id", "left_semi"), bags)
             extensions = written(growth.node_extensions(around, least), "extensions")
         if maximum and grows:
@@ -157,7 +157,7 @@ def mine(db: GraphDB, support: float, min_nodes: int = 1, max_nodes: float = flo
         size += 1
         if size >= 3:  # smaller trees have no edges to add
             inner = inner or written(db.directed_bags(), "inner-bags")
-            missing = growth.missing_edges(inner, tree_embeddings, trees, db.directed)
+            missing = written(growth.missing_edges(inner, tree_embeddings, trees, db.directed), "missing-edges")
             closing = written(growth.edge_extensions(missing, least), "edge-extensions")
         if size >= 3 and not closing.isEmpty():
             closed = growth.coded(growth.edge_extended(trees, closing), db.directed)
@@ -172,8 +172,12 @@ def mine(db: GraphDB, support: float, min_nodes: int = 1, max_nodes: float = flo
             closed = closed.join(enough.select("pattern_id"), "pattern_id", "left_semi").select(*columns)
             closed_embeddings = closed_embeddings.join(enough.select("pattern_id"), "pattern_id", "left_semi")
             next_patterns, next_embeddings = _union([trees, closed]), _union([tree_embeddings, closed_embeddings])
+            next_patterns, next_embeddings = written(next_patterns, "patterns"), written(next_embeddings, "embeddings")
         seen = written(seen, "codes")
-        patterns, embeddings = written(next_patterns, "patterns"), written(next_embeddings, "embeddings")
+        patterns, embeddings = next_patterns, next_embeddings
+    codes = seen.agg(F.count_distinct("code").alias("codes"), F.count_distinct(F.xxhash64("code")).alias("ids")).first()
+    if codes.codes != codes.ids:
+        raise RuntimeError("two patterns have one id: their codes' hashes agree")
     fits = F.col("n_nodes").between(min_nodes, F.lit(float(max_nodes)))
     all_patterns = _union(kept).where(fits) if kept else patterns
     all_embeddings = _union(kept_embeddings) if kept_embeddings else embeddings

@@ -186,12 +186,12 @@ def _bag_patterns(db: GraphDB) -> DataFrame:
 
 @registered(_BAGS)
 def two_node_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bag_patterns(views.trade(spark, sf_dir).stored())
+    return _bag_patterns(views.trade(spark, sf_dir, stored=True))
 
 
 @registered(_BAGS)
 def two_node_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bag_patterns(views.trade(spark, sf_dir, directed=False).stored())
+    return _bag_patterns(views.trade(spark, sf_dir, directed=False, stored=True))
 
 
 @registered(STEPS + _paths_sql("g", 0.4, 3))
@@ -244,7 +244,7 @@ def symmetric_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(ORDER + """
 SELECT p AS priority, st AS status, b AS brand, count(DISTINCT g) AS support, count(DISTINCT (g, part)) AS frequency FROM l WHERE t = 'R' GROUP BY ALL HAVING count(DISTINCT g) >= 2""")
 def template_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mine(views.order(spark, sf_dir).stored(), 2, 2, 2, templates=[([[], []], [(0, 1, "R")])]).patterns
+    found = mine(views.order(spark, sf_dir, stored=True), 2, 2, 2, templates=[([[], []], [(0, 1, "R")])]).patterns
     head = F.get("labels", F.get("edges", F.lit(0))["src"])
     tail = F.get("labels", F.get("edges", F.lit(0))["dst"])
     return found.select(F.get(head, F.lit(0)).alias("priority"), F.get(head, F.lit(1)).alias("status"), F.get(tail, F.lit(0)).alias("brand"), "support", "frequency")
@@ -266,7 +266,7 @@ def edge_extension_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code of every observed bag of edges between two labelled nodes."""
-    db = views.trade(spark, sf_dir).stored()
+    db = views.trade(spark, sf_dir, stored=True)
     near = db.pair_bags().join(db.nodes.select("graph_id", F.col("node_id").alias("u"), F.col("labels").alias("own")), ["graph_id", "u"])
     drafts = near.select(F.array("own", "labels").alias("labels"), F.transform("bag", lambda x: F.struct(F.when(x.startswith("+"), 0).otherwise(1).alias("src"), F.when(x.startswith("+"), 1).otherwise(0).alias("dst"), F.regexp_replace(F.substring(x, 2, 1 << 30), r"#\d+$", "").alias("type"))).alias("edges")).distinct()
     return growth.coded(drafts, True).groupBy("code").agg(F.count("*").alias("drafts"))
@@ -284,17 +284,17 @@ def pattern_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(TRADE + """
 SELECT x.g AS graph_id, count(*) AS occurrences FROM e x JOIN e y ON x.g = y.g AND x.s = y.s AND x.d < y.d WHERE x.sl = 'BUILDING' AND x.t = 'R' AND y.t = 'R' GROUP BY x.g""")
 def star_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.match(views.trade(spark, sf_dir).stored(), ([["BUILDING"], [], []], [(0, 1, "R"), (0, 2, "R")]))
+    found = matching.match(views.trade(spark, sf_dir, stored=True), ([["BUILDING"], [], []], [(0, 1, "R"), (0, 2, "R")]))
     return found.groupBy("graph_id").agg(F.count("*").alias("occurrences"))
 
 
 @registered(ORDER + """
 SELECT x.t AS type, x.b AS brand, count(*) AS occurrences FROM l x JOIN l y ON x.g = y.g AND x.part = y.part WHERE x.p = '1-URGENT' GROUP BY ALL""")
 def wildcard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = views.order(spark, sf_dir).stored()
-    found = matching.match(db, ([["1-URGENT"], [], ["supplier"]], [(0, 1, ""), (1, 2, "supplied_by")]))
+    db = views.order(spark, sf_dir, stored=True)
+    found = matching.match(db, ([["1-URGENT"], [], ["supplier"]], [(0, 1, ""), (1, 2, "supplied_by")]), with_labels=True)
     brand = F.get(F.get("labels", F.lit(1)), F.lit(0))
-    return matching.with_labels(db, found, 3).groupBy(F.get("types", F.lit(0)).alias("type"), brand.alias("brand")).agg(F.count("*").alias("occurrences"))
+    return found.groupBy(F.get("types", F.lit(0)).alias("type"), brand.alias("brand")).agg(F.count("*").alias("occurrences"))
 
 
 @registered(ORDER + """
@@ -307,7 +307,7 @@ def label_containment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 n AS (SELECT g, s, d, count(*) k FROM e WHERE t = 'R' AND sl = 'BUILDING' GROUP BY ALL)
 SELECT g AS graph_id, s AS customer, d AS part, CAST(k * (k - 1) // 2 AS BIGINT) AS occurrences FROM n WHERE k > 1""")
 def parallel_edge_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.match(views.trade(spark, sf_dir).stored(), ([["BUILDING"], []], [(0, 1, "R"), (0, 1, "R")]))
+    found = matching.match(views.trade(spark, sf_dir, stored=True), ([["BUILDING"], []], [(0, 1, "R"), (0, 1, "R")]))
     return found.groupBy("graph_id", F.get("node_map", F.lit(0)).alias("customer"), F.get("node_map", F.lit(1)).alias("part")).agg(F.count("*").alias("occurrences"))
 
 
@@ -323,7 +323,7 @@ def cycle_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(0 AS INTEGER) AS node, g AS graph_id, count(*) AS candidates FROM (SELECT g, s FROM e WHERE t = 'R' AND sl = 'BUILDING' GROUP BY g, s HAVING count(*) >= 2) GROUP BY g
 UNION ALL SELECT i, g, count(DISTINCT d) FROM e, (VALUES (1), (2)) x(i) WHERE t = 'R' GROUP BY i, g""")
 def degree_filter_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    domain = matching.degree_domain(views.trade(spark, sf_dir).stored(), ([["BUILDING"], [], []], [(0, 1, "R"), (0, 2, "R")]))
+    domain = matching.degree_domain(views.trade(spark, sf_dir, stored=True), ([["BUILDING"], [], []], [(0, 1, "R"), (0, 2, "R")]))
     return domain.groupBy("node", "graph_id").agg(F.count("*").alias("candidates"))
 
 
@@ -336,4 +336,4 @@ def pair_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(ORDER + """
 SELECT g AS graph_id FROM l GROUP BY g HAVING bool_or(p = '1-URGENT') AND bool_or(b = 'Brand#11') AND bool_or(t = 'R')""")
 def vocabulary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.vocabulary_filter(views.order(spark, sf_dir).stored(), ([["1-URGENT"], ["Brand#11"]], [(0, 1, "R")]))
+    return matching.vocabulary_filter(views.order(spark, sf_dir, stored=True), ([["1-URGENT"], ["Brand#11"]], [(0, 1, "R")]))

@@ -7,13 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import GraphDB, graph_db
+from ..storage import written
+
+
+#: Types that event_type() numbers in the plan.
+MOST_TYPES = 1000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trade(spark: SparkSession, sf_dir: str, directed: bool = True) -> GraphDB:
+def _shared(lines, nodes, edges, directed: bool, stored: bool) -> GraphDB:
+    """A database of the nodes and edges that two functions take from one table, which is written once if both are."""
+    if stored:
+        lines = written(lines, "view-lines")
+    db = graph_db(nodes(lines), edges(lines), directed, complete=True)
+    return db.stored() if stored else db
+
+
+def trade(spark: SparkSession, sf_dir: str, directed: bool = True, stored: bool = False) -> GraphDB:
     """A graph for each nation: its customers (2k, by segment) and the parts they ordered (2k + 1, by brand), an edge for each
     line of an order, of its return flag."""
     t = lambda n: _table(spark, sf_dir, n)
@@ -23,11 +36,11 @@ def trade(spark: SparkSession, sf_dir: str, directed: bool = True) -> GraphDB:
         .select(F.col("c_nationkey").cast("string").alias("graph_id"), (2 * F.col("c_custkey")).alias("src"), (2 * F.col("p_partkey") + 1).alias("dst"), F.col("l_returnflag").alias("type"), F.col("c_mktsegment").alias("a"), F.col("p_brand").alias("b"))
     )
     ends = F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.array("a").alias("labels")), F.struct(F.col("dst").alias("node_id"), F.array("b").alias("labels"))))
-    nodes = lines.select("graph_id", ends.alias("n")).select("graph_id", "n.node_id", "n.labels").distinct()
-    return graph_db(nodes, lines.select("graph_id", "src", "dst", "type"), directed, complete=True)
+    nodes = lambda x: x.select("graph_id", ends.alias("n")).select("graph_id", "n.node_id", "n.labels").distinct()
+    return _shared(lines, nodes, lambda x: x.select("graph_id", "src", "dst", "type"), directed, stored)
 
 
-def order(spark: SparkSession, sf_dir: str) -> GraphDB:
+def order(spark: SparkSession, sf_dir: str, stored: bool = False) -> GraphDB:
     """A graph for each order: the order (0, by priority and status), its parts (2k + 1, by brand) and their suppliers (2k + 2,
     'supplier'); edges from order to part by return flag and from part to supplier, 'supplied_by'."""
     t = lambda n: _table(spark, sf_dir, n)
@@ -38,7 +51,8 @@ def order(spark: SparkSession, sf_dir: str) -> GraphDB:
     edge = lambda s, d, k: F.struct(s.alias("src"), d.alias("dst"), k.alias("type"))
     n = F.explode(F.array(node(zero, F.array("o_orderpriority", "o_orderstatus")), node(part, F.array("p_brand")), node(supplier, F.array(F.lit("supplier")))))
     e = F.explode(F.array(edge(zero, part, F.col("l_returnflag")), edge(part, supplier, F.lit("supplied_by"))))
-    return graph_db(lines.select(g, n.alias("n")).select("graph_id", "n.*").distinct(), lines.select(g, e.alias("e")).select("graph_id", "e.*"), True, complete=True)
+    lines = lines.select("o_orderkey", "l_partkey", "l_suppkey", "o_orderpriority", "o_orderstatus", "p_brand", "l_returnflag")
+    return _shared(lines, lambda x: x.select(g, n.alias("n")).select("graph_id", "n.*").distinct(), lambda x: x.select(g, e.alias("e")).select("graph_id", "e.*"), True, stored)
 
 
 def _steps(spark: SparkSession, sf_dir: str):
@@ -55,16 +69,16 @@ def event_path(spark: SparkSession, sf_dir: str) -> GraphDB:
     return graph_db(nodes, edges, True, complete=True)
 
 
-
-
 def event_type(spark: SparkSession, sf_dir: str) -> GraphDB:
     """A graph for each user: the event types, with an edge for each pair of consecutive events, by whether the day is one."""
     s = _steps(spark, sf_dir)
-    types = s.select("event_type").distinct().withColumn("id", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("bigint"))  # a handful of types
-    ids = lambda a, b: F.broadcast(types.select(F.col("event_type").alias(a), F.col("id").alias(b)))
-    own = s.join(ids("event_type", "src"), "event_type")
+    names = [r[0] for r in s.select("event_type").distinct().limit(MOST_TYPES + 1).collect()]
+    if len(names) > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} event types")
+    place = F.array(*map(F.lit, sorted(x for x in names if x is not None))).cast("array<string>")
+    own = s.where("event_type IS NOT NULL").withColumn("src", F.array_position(place, F.col("event_type")) - 1)
     nodes = own.select(F.col("user_id").cast("string").alias("graph_id"), F.col("src").alias("node_id"), F.array("event_type").alias("labels")).distinct()
-    edges = own.join(ids("next_type", "dst"), "next_type").select(F.col("user_id").cast("string").alias("graph_id"), "src", "dst", F.when(F.to_date("ts") == F.to_date("next_ts"), "same").otherwise("later").alias("type"))
+    edges = own.where("next_type IS NOT NULL").select(F.col("user_id").cast("string").alias("graph_id"), "src", (F.array_position(place, F.col("next_type")) - 1).alias("dst"), F.when(F.to_date("ts") == F.to_date("next_ts"), "same").otherwise("later").alias("type"))
     return graph_db(nodes, edges, True, complete=True)
 
 

@@ -7,6 +7,7 @@ else the third; of graphs with one name, and of nodes with one id, the last coun
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import GraphDB, graph_db, with_keys
+from ..storage import written
 
 
 def _records(text: DataFrame, multi_row: bool, separator: str) -> tuple[DataFrame, DataFrame]:
@@ -55,26 +57,33 @@ def simple(db: GraphDB) -> GraphDB:
     return GraphDB(db.nodes, last, db.directed)
 
 
-def _properties(df: DataFrame, columns: list[str]):
-    if not columns:
-        return F.expr("cast(map() as map<string,string>)")
-    return F.map_filter(F.map_from_arrays(F.array(*(F.lit(c) for c in columns)), F.array(*(F.col(f"`{c}`").cast("string") for c in columns))), lambda _, v: v.isNotNull())
+def _csv_rows(spark: SparkSession, pattern: str, sep: str) -> DataFrame:
+    """(graph_id, values, fields, order): each line of the CSV files, split, and by the names in its own file's first line."""
+    text = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("order"))
+    text = text.withColumn("value", F.regexp_replace("value", r"\r$", "")).where(F.trim("value") != "")
+    heads = written(text.where("block = 0").groupBy("file").agg(F.min_by("value", "order").alias("head")), "csv-heads")
+    width = heads.agg(F.max(F.size(F.split("head", F.lit("\\Q" + sep + "\\E"))))).first()[0] or 1
+    split = lambda c: F.from_csv(c, ", ".join(f"c{k} string" for k in range(width)), {"sep": sep})
+    values = lambda c: F.array(*(F.col(f"{c}.c{k}") for k in range(width)))
+    heads = heads.withColumn("h", split(F.col("head"))).select("file", "head", values("h").alias("names"))
+    body = F.col("value") != F.col("head")  # lines like the first are no data either
+    rows = text.join(heads, "file").where(body).withColumn("v", F.when(body, split(F.col("value")))).withColumn("values", values("v"))
+    named = F.filter(F.arrays_zip(F.col("names").alias("k"), F.col("values").alias("v")), lambda x: x["k"].isNotNull() & x["v"].isNotNull())
+    return rows.select(F.element_at(F.split("file", "/"), -3).alias("graph_id"), "names", "values", F.map_from_entries(named).alias("fields"), "order")
 
 
 def read_csv(spark: SparkSession, path: str, directed: bool = False, nodes_dir: str = "nodes", edges_dir: str = "edges", sep: str = ",", label_separator: str = ":", id_column: str = "node_id", labels_column: str = "labels", type_column: str = "type", multigraph: bool = True) -> GraphDB:
-    """<path>/<graph>/<nodes_dir>/*.csv and <path>/<graph>/<edges_dir>/*.csv, with headers. The first two columns of an edge
-    file are its ends; columns without a role are properties, by name."""
-
-    def rows(role: str) -> DataFrame:
-        df = spark.read.csv(f"{path.rstrip('/')}/*/{role}/*.csv", header=True, sep=sep)
-        return df.withColumn("__graph", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3))
-
+    """<path>/<graph>/<nodes_dir>/*.csv and <path>/<graph>/<edges_dir>/*.csv. Each file's columns are those of its own first
+    line, so files may differ in them. The first two columns of an edge file are its ends; columns without a role are
+    properties, by name."""
+    rows = lambda role: _csv_rows(spark, f"{path.rstrip('/')}/*/{role}/*.csv", sep)
     n, e = rows(nodes_dir), rows(edges_dir)
-    labels = F.filter(F.split(F.coalesce(F.col(labels_column), F.lit("")), "\\Q" + label_separator + "\\E"), lambda x: x != "")
-    nodes = n.select(F.col("__graph").alias("graph_id"), F.col(id_column).cast("bigint").alias("node_id"), labels.alias("labels"), _properties(n, [c for c in n.columns if c not in (id_column, labels_column, "__graph")]).alias("props"))
-    src, dst = e.columns[:2]
-    kind = F.col(type_column) if type_column in e.columns else F.lit("")
-    edges = e.select(F.col("__graph").alias("graph_id"), F.col(src).cast("bigint").alias("src"), F.col(dst).cast("bigint").alias("dst"), kind.alias("type"), _properties(e, [c for c in e.columns if c not in (src, dst, type_column, "__graph")]).alias("props"), F.monotonically_increasing_id().alias("order"))
+    without = lambda *gone: F.map_filter("fields", lambda k, _: ~F.array_contains(F.array(*gone), k))
+    labels = F.filter(F.split(F.coalesce(F.col("fields")[labels_column], F.lit("")), "\\Q" + label_separator + "\\E"), lambda x: x != "")
+    nodes = n.select("graph_id", F.col("fields")[id_column].cast("bigint").alias("node_id"), labels.alias("labels"), without(F.lit(id_column), F.lit(labels_column)).alias("props"))
+    end = lambda k: F.get("values", F.lit(k)).cast("bigint")
+    props = without(F.coalesce(F.get("names", F.lit(0)), F.lit("")), F.coalesce(F.get("names", F.lit(1)), F.lit("")), F.lit(type_column))
+    edges = e.select("graph_id", end(0).alias("src"), end(1).alias("dst"), F.coalesce(F.col("fields")[type_column], F.lit("")).alias("type"), props.alias("props"), "order")
     db = graph_db(nodes, with_keys(edges, "order").drop("order"), directed)
     return db if multigraph else simple(db)
 
@@ -103,14 +112,32 @@ def read_json(spark: SparkSession, path: str, directed: bool = False, multigraph
 READERS: dict[str, Callable[..., GraphDB]] = {"data": read_data, "txt": read_data, "csv": read_csv, "json": read_json}
 
 
-def read_graph_db(spark: SparkSession, path: str, format: str | None = None, **options) -> GraphDB:
-    """The reader for a format, which is the path's extension unless given."""
+def read_graph_db(spark: SparkSession, path: str, format: str | None = None, config_dir: str | None = None, **options) -> GraphDB:
+    """The reader for a format, which is the path's extension unless given. Options of the format's file in config_dir hold
+    where none are given here."""
     kind = (format or path.rstrip("/").rpartition(".")[2]).lower()
     if kind not in READERS:
         raise ValueError(f"format not supported: {kind!r}; known: {', '.join(sorted(READERS))}")
+    if config_dir is not None:
+        options = configured(spark, config_dir, kind) | options
     return READERS[kind](spark, path, **options)
 
 
+#: Names of options in config files, which must match: theirs and the readers'.
+CONFIG_NAMES = {
+    "is_mr": "multi_row", "sep_label": "label_separator", "is_directed": "directed", "is_multigraph": "multigraph",
+    "sep_feat": "sep", "nodes_path": "nodes_dir", "edges_path": "edges_dir", "id_col_nm": "id_column", "label_col_nm": "labels_column",
+}
+_FLAGS = ("multi_row", "directed", "multigraph")
+
+
+def configured(spark: SparkSession, config_dir: str, format: str) -> dict:
+    """The reader's options in <config_dir>/<format>_conf.json, a file that any store of Spark's may hold."""
+    text = spark.read.text(f"{config_dir.rstrip('/')}/{format.lower()}_conf.json", wholetext=True).first()[0]
+    known = {CONFIG_NAMES[k]: v for k, v in json.loads(text).items() if k in CONFIG_NAMES and v != ""}
+    return {k: bool(int(v)) if k in _FLAGS else v for k, v in known.items()}
+
+
 def parse_patterns(text: str) -> list[tuple[list[list[str]], list[tuple[int, int, str]]]]:
     """Template graphs of a (small) text: (labels, edges) each, nodes renumbered from 0 in ascending order of their ids. Lines
     before any `t` line make a graph too."""

@@ -241,3 +241,24 @@ def test_orbits():
 
     assert orbits([["r"], ["l"], ["l"]], [(0, 1, "x"), (0, 2, "x")], True) == [[0], [1, 2]]
     assert orbits([["r"], ["l"], ["l"]], [(0, 1, "x"), (0, 2, "y")], True) == [[0], [1], [2]]
+
+
+def test_edge_orbits_and_large_groups():
+    from motifspark.functions.canonical import edge_orbits
+
+    assert edge_orbits([["r"], ["l"], ["l"]], [(0, 1, "x"), (0, 2, "x"), (1, 2, "x")], False) == [[0, 1], [2]]
+    assert edge_orbits([[]] * 4, [(0, 1, ""), (1, 2, ""), (2, 3, ""), (3, 0, "")], True) == [[0, 1, 2, 3]]
+    arms = [(0, 2 * k + 1, "a") for k in range(10)] + [(2 * k + 1, 2 * k + 2, "b") for k in range(10)]
+    assert automorphism_count([["x"]] * 21, arms, True) == 3628800  # counted by orbits, not one by one
+
+
+@pytest.mark.parametrize("symmetric", [False, True])
+def test_parts_of_the_matcher_find_the_same(spark, symmetric):
+    r = random.Random(61)
+    nodes = [(f"g{g}", v, [r.choice("AB")] if r.random() < 0.8 else []) for g in range(12) for v in range(6)]
+    edges = [(f"g{g}", r.randrange(6), r.randrange(6), r.choice("xy")) for g in range(12) for _ in range(r.randint(2, 12))]
+    for directed in (True, False):
+        db = graph_db(spark.createDataFrame(nodes, "graph_id string, node_id bigint, labels array<string>"), spark.createDataFrame(edges, "graph_id string, src bigint, dst bigint, type string"), directed).stored()
+        for query in (([["A"], [], ["B"]], [(0, 1, "x"), (1, 2, "y")]), ([[], []], [(0, 1, "x"), (0, 1, "x")]), ([["A"]], []), ([[], [], []], [(0, 1, "x"), (1, 2, "x"), (2, 0, "")])):
+            rows = lambda parts: sorted(map(str, matching.match(db, query, symmetric, parts=parts, with_labels=True).collect()))  # noqa: E731, B023
+            assert rows(matching.PLAIN) == rows(matching.SELECTIVE)

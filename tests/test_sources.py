@@ -7,7 +7,8 @@ import re
 
 import pytest
 
-from motifspark import cli
+from motifspark import cli, validate
+from motifspark.api import Miner
 from motifspark.operators import access
 from motifspark.plans.mine import mine
 from motifspark.sources import writers
@@ -121,6 +122,45 @@ def test_command_line(spark, folder, db, capsys):
     assert any("s 3" in p.read_text() for p in (folder / "out").glob("part-*"))
 
 
+def test_csv_files_with_different_columns(spark, tmp_path):
+    files = {
+        "g1/nodes/a.csv": "node_id,labels,name\n1,A:B,zero\n2,B,one\n", "g1/nodes/b.csv": 'color,node_id,labels\nred,3,"C"\n',
+        "g2/nodes/a.csv": "node_id,color,labels\n1,blue,A\n2,,\n", "g1/edges/a.csv": "from,to,weight,type\n1,2,9,t\n2,3,,u\n", "g2/edges/a.csv": "s,d,type,since\r\n2,1,v,1999\r\n",
+    }
+    for name, text in files.items():
+        (tmp_path / "net" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "net" / name).write_bytes(text.encode())
+    db = read_graph_db(spark, str(tmp_path / "net"), "csv", directed=True)
+    assert {(r.graph_id, r.node_id): (r.labels, r.props) for r in db.nodes.collect()} == {
+        ("g1", 1): (["A", "B"], {"name": "zero"}), ("g1", 2): (["B"], {"name": "one"}), ("g1", 3): (["C"], {"color": "red"}), ("g2", 1): (["A"], {"color": "blue"}), ("g2", 2): ([], {}),
+    }
+    assert sorted((r.graph_id, r.src, r.dst, r.type, r.props) for r in db.edges.collect()) == [("g1", 1, 2, "t", {"weight": "9"}), ("g1", 2, 3, "u", {}), ("g2", 2, 1, "v", {"since": "1999"})]
+
+
+def test_options_from_config_files(spark, folder, db):
+    (folder / "data_conf.json").write_text('{"file_path": "", "sep_label": " ", "is_mr": 0, "is_directed": 1, "is_multigraph": 1}')
+    again = read_graph_db(spark, str(folder / "db.data"), config_dir=str(folder))
+    assert again.directed and sorted(map(str, again.edges.collect())) == sorted(map(str, db.edges.collect()))
+    assert not read_graph_db(spark, str(folder / "db.data"), config_dir=str(folder), directed=False).directed
+
+
+def test_one_call_and_validation(spark, folder, tmp_path, capsys):
+    out, result = str(tmp_path / "out"), str(tmp_path / "result")
+    found = Miner(str(folder / "db.data"), 1, max_nodes=3, show_mappings=True, output_path=out, directed_graph=True).mine(spark)
+    assert found.patterns.count() == 6
+    assert validate.main([out, str(folder / "db.data"), result, "true"], spark) == 0 and "0 wrong" in capsys.readouterr().out
+    assert validate.read_mappings(spark, out)[1].count() == found.embeddings.where("size(node_map) > 1").count() > 0
+    text = "\n".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
+    (tmp_path / "bad.txt").write_text(re.sub(r"^(\d+),(\d+)$", r"\2,\1", text, flags=re.M))
+    assert validate.main([str(tmp_path / "bad.txt"), str(folder / "db.data"), result, "true"], spark) == 1
+    assert validate.main([out], spark) == 2
+
+
+def test_long_flags():
+    a = cli.parser().parse_args(["x", "2", "--is_directed", "1", "--worker", "3"])
+    assert a.directed == 1 and a.workers == 3
+
+
 def test_reified(spark, folder):
     (folder / "r.data").write_text("t # 0 G1\nv 0 a\nv 1 b\ne 0 1 x\ne 0 1 y\nt # 1 G2\nv 0 a\nv 1 b\ne 0 1 x\ne 0 1 y\n")
     db = access.reified(read_graph_db(spark, str(folder / "r.data"), directed=True))
