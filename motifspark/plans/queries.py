@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..graph import GraphDB
 from ..operators import access, growth, matching
-from ..sources import writers
+from ..sources import readers, writers
+from ..storage import shared_folder
 from . import views
 from .mine import mine
 
@@ -126,10 +128,10 @@ def self_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(TYPES + """
-SELECT g AS graph_id, s AS src, d AS dst, count(*) AS edges FROM e WHERE s IN (0, 1, 2) AND d IN (0, 1, 2) GROUP BY ALL""")
+SELECT g AS graph_id, s AS src, d AS dst, count(*) AS edges FROM e WHERE sl < 'q' AND dl < 'q' GROUP BY ALL""")
 def induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = views.event_type(spark, sf_dir).stored()
-    return access.induced(db, db.nodes.where("node_id < 3").select("graph_id", "node_id")).edges.groupBy("graph_id", "src", "dst").agg(F.count("*").alias("edges"))
+    return access.induced(db, db.nodes.where(F.get("labels", F.lit(0)) < "q").select("graph_id", "node_id")).edges.groupBy("graph_id", "src", "dst").agg(F.count("*").alias("edges"))
 
 
 @registered(TYPES + """,
@@ -164,6 +166,97 @@ def pair_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("graph_id", "u", "v", *(F.array_join(c, ",").alias(n) for c, n in (("labels_u", "label_u"), ("labels_v", "label_v"), ("t_in", "t_in"), ("t_out", "t_out"))))
 
 
+_PAIR = "SELECT g AS graph_id, s AS u, d AS v, string_agg({0}, ',' ORDER BY t) AS types FROM e GROUP BY ALL"
+
+
+@registered(TYPES + _PAIR.format("DISTINCT t"))
+def edge_type_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.edge_types(views.event_type(spark, sf_dir)).withColumn("types", F.array_join("types", ","))
+
+
+@registered(TYPES + _PAIR.format("t"))
+def edge_type_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.edge_types(views.event_type(spark, sf_dir), repeated=True).withColumn("types", F.array_join("types", ","))
+
+
+@registered(TRADE + """
+SELECT g AS graph_id, s AS src, d AS dst, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS keys
+FROM (SELECT *, row_number() OVER (PARTITION BY g, s, d ORDER BY t) - 1 k FROM e) WHERE t = 'R' GROUP BY ALL""")
+def edge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.edge_keys(views.trade(spark, sf_dir), "R").withColumn("keys", F.array_join(F.transform("keys", lambda x: x.cast("string")), ","))
+
+
+@registered(TYPES + """
+SELECT e.g AS graph_id, s AS src, d AS dst, count(*) AS edges FROM e WHERE sl <> (SELECT min(x) FROM k) AND dl <> (SELECT min(x) FROM k) GROUP BY ALL""")
+def listed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges but those at dummy nodes: the nodes of the first event type are made such."""
+    db = views.event_type(spark, sf_dir).stored()
+    dummy = db.nodes.withColumn("labels", F.when(F.col("node_id") == 0, F.array(F.lit(access.DUMMY))).otherwise(F.col("labels")))
+    return access.listed_edges(GraphDB(dummy, db.edges, True)).groupBy("graph_id", "src", "dst").agg(F.count("*").alias("edges"))
+
+
+@registered(TYPES + """
+SELECT g AS graph_id, s AS node_id, string_agg(DISTINCT CAST(d AS VARCHAR), ',' ORDER BY CAST(d AS VARCHAR)) AS targets FROM e GROUP BY ALL""")
+def adjacency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.adjacency(views.event_type(spark, sf_dir)).withColumn("targets", F.array_join(F.transform("targets", lambda x: x.cast("string")), ","))
+
+
+@registered(TYPES + """
+SELECT g AS graph_id, least(s, d) AS u, greatest(s, d) AS v, count(*) AS edges, count(*) FILTER (WHERE s < d) AS ahead FROM e GROUP BY ALL""")
+def pair_edge_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = access.pair_edges(views.event_type(spark, sf_dir))
+    return pairs.select("graph_id", "u", "v", F.size("edges").cast("long").alias("edges"), F.size(F.filter("edges", lambda e: e["src"] < e["dst"])).cast("long").alias("ahead"))
+
+
+@registered(TRADE + """
+SELECT v.g AS graph_id, v.v AS node_id, count(e.g) AS degree FROM v LEFT JOIN (SELECT g, s n FROM e UNION ALL SELECT g, d FROM e) e ON e.g = v.g AND e.n = v.v GROUP BY ALL""")
+def total_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.total_degrees(views.trade(spark, sf_dir, stored=True))
+
+
+@registered(TURNS.replace("role a,", "role a, turn t, lead(turn) OVER w t2,") + """
+SELECT g AS graph_id, t AS u, a AS label_u, t2 AS v, b AS label_v, 'reply' AS types FROM s WHERE b IS NOT NULL""")
+def mapped_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = views.dialogue(spark, sf_dir).stored()
+    found = access.mapped_graphs(db, matching.match(db, ([[], []], [(0, 1, "reply")])), [(0, 1)])
+    node, e = (lambda k: F.get("nodes", F.lit(k))), F.get("edges", F.lit(0))
+    return found.select("graph_id", e["u"].alias("u"), F.get(node(0)["labels"], F.lit(0)).alias("label_u"), e["v"].alias("v"), F.get(node(1)["labels"], F.lit(0)).alias("label_v"), F.array_join(e["types"], ",").alias("types"))
+
+
+@registered(TURNS.replace("role a,", "role a, turn t, lead(turn) OVER w t2,") + """
+SELECT g AS graph_id, t2 AS u, t AS v FROM s WHERE b IS NOT NULL""")
+def wrong_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the validator finds among all replies as they are and, of the same pattern, turned round."""
+    db = views.dialogue(spark, sf_dir).stored()
+    plain = db.edges.select(F.lit(1).cast("bigint").alias("pattern_id"), "graph_id", F.array("src", "dst").alias("node_map"))
+    free = GraphDB(db.nodes.withColumn("labels", F.expr("cast(array() as array<string>)")), db.edges, True)
+    pattern = spark.createDataFrame([(1, [[], []], [(0, 1, "reply")])], f"pattern_id bigint, labels array<array<string>>, edges {growth.EDGE_LIST}")
+    found = access.invalid_embeddings(free, pattern, plain.unionAll(plain.withColumn("node_map", F.reverse("node_map"))))
+    return found.select("graph_id", F.get("node_map", F.lit(0)).alias("u"), F.get("node_map", F.lit(1)).alias("v"))
+
+
+# --- sources
+
+
+def _round_trip(db: GraphDB) -> GraphDB:
+    """The database written as text in the shared folder and read again."""
+    spark = db.nodes.sparkSession
+    path = f"{shared_folder(spark)}/graphs-{uuid.uuid4().hex}.data"
+    writers.graph_text(db).select("value").write.text(path)
+    return readers.read_graph_db(spark, path, directed=True)
+
+
+@registered(TRADE + """
+SELECT g AS graph_id, s AS src, sl AS label_src, d AS dst, dl AS label_dst, t AS type, count(*) AS edges FROM e GROUP BY ALL""")
+def data_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges with their ends' labels after the database was written as .data text and read again."""
+    db = _round_trip(views.trade(spark, sf_dir, stored=True)).stored()
+    found = db.edges
+    for end in ("src", "dst"):
+        found = found.join(db.nodes.select("graph_id", F.col("node_id").alias(end), F.get("labels", F.lit(0)).alias(f"label_{end}")), ["graph_id", end])
+    return found.groupBy("graph_id", "src", "label_src", "dst", "label_dst", "type").agg(F.count("*").alias("edges"))
+
+
 # --- mining
 
 _BAGS = TRADE + """,
@@ -263,7 +356,44 @@ def edge_extension_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.groupBy("i", "j").agg(F.count("*").alias("embeddings"), F.sum(F.size("bag")).alias("missing"))
 
 
+_SHAPES = {
+    "s1 AND k": ["'>' || a || '>next+skip'", "'next>' || b || '>next'", "'next+skip>' || c || '>'"],
+    "s1": ["'>' || a || '>next'", "'next>' || b || '>next'", "'next>' || c || '>'"],
+    "k": ["'>' || a || '>next+skip'", "'next>' || b || '>'", "'skip>' || c || '>'"],
+    "s1 AND k AND true": ["'>' || a || '>skip'", "'>' || b || '>next'", "'next+skip>' || c || '>'"],
+    "k1": ["'>' || a || '>next'", "'next>' || b || '>skip'", "'skip>' || d || '>'"],
+    "k AND d IS NOT NULL": ["'>' || a || '>skip'", "'skip>' || c || '>next'", "'next>' || d || '>'"],
+    "k AND k2": ["'>' || a || '>skip'", "'skip>' || c || '>skip'", "'skip>' || f || '>'"],
+}
+
+
+@registered("""
+s AS (SELECT CAST(user_id AS VARCHAR) g, event_type a, lead(event_type) OVER w b, lead(event_type, 2) OVER w c, lead(event_type, 3) OVER w d, lead(event_type, 4) OVER w f,
+             coalesce(CAST(ts AS DATE) = CAST(lead(ts, 2) OVER w AS DATE), false) k, lead(event_type, 2) OVER w IS NOT NULL s1,
+             coalesce(CAST(lead(ts) OVER w AS DATE) = CAST(lead(ts, 3) OVER w AS DATE), false) k1, coalesce(CAST(lead(ts, 2) OVER w AS DATE) = CAST(lead(ts, 4) OVER w AS DATE), false) k2
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (""" + " UNION ALL ".join(f"SELECT g, array_to_string(list_sort([{', '.join(v)}]), '|') AS nodes, {3 if k == 's1 AND k' else 2} AS n_edges FROM s WHERE {k}" for k, v in _SHAPES.items()) + """)
+SELECT nodes, CAST(n_edges AS INTEGER) AS n_edges, count(DISTINCT g) AS support, count(*) AS frequency, count(*) AS n_occurrences FROM r
+GROUP BY ALL HAVING count(DISTINCT g) >= greatest(1, floor(0.2 * (SELECT count(DISTINCT g) FROM s)))""")
+def closing_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of three nodes with their closing edges, each node written as the types of its edges in, its label, those out."""
+    found = mine(views.event_skip(spark, sf_dir).stored(), 0.2, 3, 3).patterns
+    types = lambda end, v: F.array_join(F.array_sort(F.transform(F.filter("edges", lambda e: e[end] == v), lambda e: e["type"])), "+")
+    nodes = F.transform("labels", lambda x, v: F.concat(types("dst", v), F.lit(">"), F.get(x, F.lit(0)), F.lit(">"), types("src", v)))
+    return found.select(F.array_join(F.array_sort(nodes), "|").alias("nodes"), "n_edges", "support", "frequency", "n_occurrences")
+
+
 @registered()
+def closing_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximum patterns of up to three event types, with several edges between two nodes: joint edge extension and the rule for
+    trees that gained edges, which depends on the order of growth, so SQL has no counterpart."""
+    found = mine(views.event_type(spark, sf_dir).stored(), 0.9, 1, 3, pattern_type="maximum").patterns
+    return found.select("code", "n_nodes", "n_edges", "support", "frequency", "n_occurrences")
+
+
+@registered(TRADE + """
+SELECT '[[["' || least(sl, dl) || '"],["' || greatest(sl, dl) || '"]],[' || string_agg(CASE WHEN sl < dl THEN '[0,1,"' ELSE '[1,0,"' END || t || '"]', ',' ORDER BY t) || ']]' AS code, CAST(2 AS BIGINT) AS drafts
+FROM (SELECT DISTINCT sl, dl, unnest(list_sort(ts)) t, list_sort(ts) z, generate_subscripts(ts, 1) i FROM (SELECT sl, dl, list(t) ts FROM e GROUP BY g, s, d, sl, dl)) GROUP BY sl, dl, z""")
 def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code of every observed bag of edges between two labelled nodes."""
     db = views.trade(spark, sf_dir, stored=True)

@@ -69,6 +69,17 @@ def event_path(spark: SparkSession, sf_dir: str) -> GraphDB:
     return graph_db(nodes, edges, True, complete=True)
 
 
+def event_skip(spark: SparkSession, sf_dir: str) -> GraphDB:
+    """event_path() with an edge 'skip' from each event to the one after the next, if both are on one day: triangles."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    s = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("graph_id"), "event_id", "event_type", "ts", *(x for k, n in ((1, "next"), (2, "skip")) for x in (F.lead("event_id", k).over(w).alias(n), F.lead("ts", k).over(w).alias(f"{n}_ts"))))
+    nodes = s.select("graph_id", F.col("event_id").alias("node_id"), F.array("event_type").alias("labels"))
+    skip = F.when(F.to_date("ts") == F.to_date("skip_ts"), F.col("skip"))
+    e = F.explode(F.array(F.struct(F.col("next").alias("dst"), F.lit("next").alias("type")), F.struct(skip.alias("dst"), F.lit("skip").alias("type"))))
+    edges = s.select("graph_id", F.col("event_id").alias("src"), e.alias("e")).select("graph_id", "src", "e.*").where("dst IS NOT NULL")
+    return graph_db(nodes, edges, True, complete=True)
+
+
 def event_type(spark: SparkSession, sf_dir: str) -> GraphDB:
     """A graph for each user: the event types, with an edge for each pair of consecutive events, by whether the day is one."""
     s = _steps(spark, sf_dir)
