@@ -22,9 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, counted now; otherwise df, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def broadcast_if_small(df: DataFrame, limit: int, limit_bytes: int = 64 << 20) -> DataFrame:
+    """df with a broadcast hint if it has at most limit rows, counted now, and its strings at most limit_bytes; otherwise df, for
+    a shuffled join."""
+    texts = [F.octet_length(f"`{f.name}`") for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    size = F.coalesce(F.sum(sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(0)).cast("long")), F.lit(0))
+    rows, held = df.limit(limit + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if rows <= limit and held <= limit_bytes else df
 
 
 def unused(df: DataFrame) -> str:

@@ -15,6 +15,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from motifspark.llm.common import broadcast_if_small
 from motifspark.llm import decontam, quality, rank_bpe, secret_scan, sharding, simhash, suffix_dedup, token_store, url_filter, wordpiece
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -372,6 +373,7 @@ def test_url_filters(spark):
     assert sorted(map(tuple, url_filter.judge_urls(pages, rules, broadcast_rules=0).collect()), key=repr) == found
     assert url_filter.judge_urls(pages, rules.limit(0)).where("rule IS NULL AND verdict = 'allow'").count() == len(found)
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+    assert "Broadcast" in broadcast_if_small(rules, 10)._jdf.queryExecution().toString().replace("ResolvedHint (strategy=broadcast)", "Broadcast") and broadcast_if_small(rules, 10, 5) is rules
     plan = url_filter.judge_urls(pages, rules)._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
 
