@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batch, discard, unused, with_fields, written
-from .similar import similar
+from .similar import classes
 
 #: Blocks of the embedding in segments of two bits: together 32.
 BLOCKS, NEAR = (5, 5, 5, 5, 6, 6), 3
@@ -123,14 +123,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id, with the columns of docs. Near-duplicates are
-    connected by pairs of Jaccard similarity 0.8 or more over `width`-word shingles, all of which similar() finds; no small
+    connected by pairs of Jaccard similarity 0.8 or more over `width`-word shingles, all of which classes() finds; no small
     Hamming radius covers them, as two such fingerprints differ by about 10 bits and often more. Rows are told apart by id and text; of rows that are equal in both, one stays. Documents without id come after all others."""
     p = unused(docs)
-    name, text, rows = f"{p}key", f"{p}text", f"{p}rows"
+    name, text = f"{p}key", f"{p}text"
     key = F.struct(F.col(f"`{id_col}`").isNull().alias("n"), F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h"))
-    found = written(similar(docs.select(key.alias(name), F.col(f"`{text_col}`").alias(text)), components, name, text, width), "near-duplicates")
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias(rows))
+    of, found = classes(docs.select(key.alias(name), F.col(f"`{text_col}`").alias(text)), components, name, text, width)
+    kept = found.select(F.col("component_id").alias(name)).distinct()
     out = docs.withColumn(name, key).join(kept, name, "left_semi")
-    if not kept.where(F.col(rows) > 1).isEmpty():
+    if not of.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows that are equal in id and text
         out = out.dropDuplicates([name])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
