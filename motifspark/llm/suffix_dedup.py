@@ -45,6 +45,8 @@ CHUNK = 1_000_000
 WINDOW = 1 << 19
 #: Documents looked at for hot grams, and the share of them that holds a hot one.
 SAMPLE, HOT_SHARE = 1000, 0.01
+#: Parts that rows of one text are dealt into.
+SALTS = 16
 _MIX = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
@@ -357,8 +359,10 @@ def _compared(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator
 def _copies(rows: DataFrame) -> tuple[DataFrame, int]:
     """(doc_id, rid) of rows whose whole text is that of a row with a smaller id, and the number of rows."""
     prints = written(rows.select("doc_id", "rid", F.sha2("text", 256).alias("digest")), "suffix-digests")
-    firsts = prints.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = written(prints.join(firsts, "digest").where("doc_id > first").select("doc_id", "rid"), "suffix-copies")
+    firsts = prints.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a text that very many rows have is split
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(SALTS)).cast("int"))
+    copies = written(salted.join(firsts, ["digest", "salt"]).where("doc_id > first").select("doc_id", "rid"), "suffix-copies")
     n = prints.count()
     discard(prints)
     return copies, n
