@@ -47,13 +47,21 @@ def neighbours(embeddings: DataFrame, bags: DataFrame) -> DataFrame:
     return at.join(bags, ["graph_id", "u"]).where(~F.array_contains("node_map", F.col("v"))).select("pattern_id", "graph_id", "node_map", "p_node", "v", "labels", "bag")
 
 
+def including(bags: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """bags joined with the parts of the same keys that they include. A part meets only the bags that have its entry of the
+    highest number, which are the fewest, so the bags of a key are not all compared with each other."""
+    number = lambda x: F.regexp_extract(x, r"#(\d+)$", 1).cast("int")
+    rarest = F.array_max(F.transform("part", lambda x: F.struct(number(x).alias("n"), x.alias("x"))))["x"]
+    return bags.withColumn("entry", F.explode("bag")).join(parts.withColumn("entry", rarest), [*keys, "entry"]).where(includes(F.col("bag"), F.col("part"))).drop("entry")
+
+
 def node_extensions(seen: DataFrame, least: int) -> DataFrame:
     """(pattern_id, p_node, labels, bag, support): the observed ways to add a node that enough graphs have, where a neighbour
     counts for its own bag of edges and for every observed bag that its own includes. seen: neighbours()."""
     keys = ["pattern_id", "p_node", "labels"]
     by_graph = seen.select(*keys, "bag", "graph_id").distinct()
     options = by_graph.select(*keys, F.col("bag").alias("part")).distinct()
-    inside = by_graph.join(options, keys).where(includes(F.col("bag"), F.col("part")))
+    inside = including(by_graph, options, keys)
     return inside.groupBy(*keys, F.col("part").alias("bag")).agg(F.countDistinct("graph_id").alias("support")).where(F.col("support") >= least)
 
 
@@ -108,7 +116,7 @@ def edge_extensions(missing: DataFrame, least: int) -> DataFrame:
     keys = ["pattern_id", "i", "j"]
     by_graph = missing.select(*keys, "bag", "graph_id").distinct()
     options = by_graph.select(*keys, F.col("bag").alias("part")).distinct()
-    held = by_graph.join(options, keys).where(includes(F.col("bag"), F.col("part"))).select(*keys, F.col("part").alias("bag"), "graph_id").distinct()
+    held = including(by_graph, options, keys).select(*keys, F.col("part").alias("bag"), "graph_id").distinct()
     h = F.xxhash64("graph_id")
     sets = held.groupBy(*keys, "bag").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 40))).alias("s")).where(F.col("n") >= least)
     sets = sets.withColumn("group", F.struct("n", "x", "s"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from ..graph import GraphDB
 from ..operators import access
 from ..plans.mine import Mined
+from ..storage import written
 
 RULE = "----------"
 
@@ -55,19 +58,48 @@ def full_mappings(db: GraphDB, mined: Mined) -> DataFrame:
     return rows.select("pattern_id", "graph_id", F.concat(F.lit("({"), nodes, F.lit("}, {"), edges, F.lit("})")).alias("value"))
 
 
+def numbered_patterns(patterns: DataFrame) -> DataFrame:
+    """patterns with number, from 1 by size and code: counted in ranges, each in a task of its own."""
+    dealt = patterns.repartitionByRange("n_nodes", "n_edges", "code").sortWithinPartitions("n_nodes", "n_edges", "code")
+    rows = written(dealt.withColumn("at", F.monotonically_increasing_id()), "numbered-patterns")
+    rows = rows.withColumns({"range": F.shiftright("at", 33), "place": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sums = rows.groupBy("range").agg(F.count("*").alias("n"))  # one row for each range
+    before = sums.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    return rows.join(before, "range").withColumn("number", F.col("before") + F.col("place") + 1).drop("at", "range", "place", "before")
+
+
+def _head(number: Column) -> Column:
+    return F.concat_ws("\n", F.concat(F.lit("t # "), number.cast("string")), pattern_lines(F.col("labels"), F.col("edges")), F.concat(F.lit("s "), F.col("support").cast("string")), F.concat(F.lit("f "), F.col("frequency").cast("string")))
+
+
 def format_patterns(mined: Mined, with_frequencies: bool = False, show_mappings: bool = False) -> DataFrame:
     """(number, value): a block of text for each pattern, by size and code: records, `s` support, `f` frequency, on request the
-    graphs it is in, and a rule."""
-    p = mined.patterns
+    graphs it is in, and a rule. A block is one row: write_patterns() is for results whose mappings are many."""
+    p = numbered_patterns(mined.patterns)
     info = F.lit("")
     if with_frequencies or show_mappings:
         p = p.join(mapping_lines(mined.embeddings) if show_mappings else frequency_lines(mined.embeddings), "pattern_id", "left")
         info = F.concat(F.lit("\n\ninfo:\n"), F.coalesce("info", F.lit("")))
-    number = F.row_number().over(Window.orderBy("n_nodes", "n_edges", "code"))  # one row for each pattern found
-    body = F.concat_ws("\n", F.concat(F.lit("t # "), number.cast("string")), pattern_lines(F.col("labels"), F.col("edges")), F.concat(F.lit("s "), F.col("support").cast("string")), F.concat(F.lit("f "), F.col("frequency").cast("string")))
-    return p.select(number.alias("number"), F.concat(body, info, F.lit("\n" + RULE)).alias("value"))
+    return p.select("number", F.concat(_head(F.col("number")), info, F.lit("\n" + RULE)).alias("value"))
+
+
+def pattern_text(mined: Mined, with_frequencies: bool = False, show_mappings: bool = False) -> DataFrame:
+    """(value): the lines of format_patterns(), in order, each graph and each mapping a row of its own. A pattern's lines are in
+    one partition, sorted there."""
+    p = numbered_patterns(mined.patterns)
+    nothing = F.expr("cast(array() as array<bigint>)")
+    line = lambda df, part, value, graph=F.lit(""), node_map=nothing: df.select("number", F.lit(part).alias("part"), graph.alias("graph"), node_map.alias("node_map"), value.alias("value"))
+    parts = [line(p, 0, _head(F.col("number"))), line(p, 3, F.lit(RULE))]
+    if with_frequencies or show_mappings:
+        parts.append(line(p, 1, F.lit("\ninfo:")))
+        found = mined.embeddings.join(p.select("pattern_id", "number"), "pattern_id")
+        graphs = found.groupBy("number", "graph_id").agg(F.count("*").alias("n"))
+        parts.append(line(graphs, 2, F.col("graph_id") if show_mappings else _joined(F.col("graph_id"), F.col("n").cast("string")), F.col("graph_id")))
+        if show_mappings:
+            parts.append(line(found, 2, F.array_join(F.transform("node_map", lambda x: x.cast("string")), ","), F.col("graph_id"), F.col("node_map")))
+    return reduce(DataFrame.unionAll, parts).repartitionByRange("number").sortWithinPartitions("number", "part", "graph", "node_map").select("value")
 
 
 def write_patterns(mined: Mined, path: str, with_frequencies: bool = False, show_mappings: bool = False) -> None:
-    """format_patterns() as text files at path."""
-    format_patterns(mined, with_frequencies, show_mappings).orderBy("number").select("value").write.mode("overwrite").text(path)
+    """pattern_text() as text files at path, which hold the lines in the files' order."""
+    pattern_text(mined, with_frequencies, show_mappings).write.mode("overwrite").text(path)
