@@ -56,8 +56,11 @@ class GraphDB:
 
 
 def numbered(types) -> F.Column:
-    """A multiset as a sorted set: the k-th equal entry x becomes 'x#k', so that inclusion is inclusion of sets."""
-    return F.transform(F.array_sort(types), lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(F.array_sort(types), x) + 1).cast("string")))
+    """A multiset as a sorted set: the k-th equal entry x becomes 'x#k', so that inclusion is inclusion of sets. Most pairs of
+    nodes have one edge, for which nothing needs to be sorted."""
+    ordered = F.sort_array(types)
+    several = F.transform(ordered, lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(ordered, x) + 1).cast("string")))
+    return F.when(F.size(types) == 1, F.array(F.concat(F.get(types, F.lit(0)), F.lit("#0")))).otherwise(several)
 
 
 def includes(larger, smaller) -> F.Column:

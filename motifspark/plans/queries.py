@@ -257,6 +257,24 @@ def data_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("graph_id", "src", "label_src", "dst", "label_dst", "type").agg(F.count("*").alias("edges"))
 
 
+@registered(TRADE + """
+SELECT g AS graph_id, s AS src, sl AS label_src, d AS dst, dl AS label_dst, t AS type, count(*) AS edges FROM e GROUP BY ALL""")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """data_round_trip() by way of CSV folders, a node and an edge file or more for each graph."""
+    db = views.trade(spark, sf_dir, stored=True)
+    path = f"{shared_folder(spark)}/graphs-{uuid.uuid4().hex}"
+    nodes = db.nodes.select("node_id", F.array_join("labels", ":").alias("labels"), "graph_id", F.lit("nodes").alias("role"))
+    edges = db.edges.select("src", "dst", "type", "graph_id", F.lit("edges").alias("role"))
+    for rows in (nodes, edges):
+        rows.repartition("graph_id").write.mode("append").partitionBy("graph_id", "role").csv(path, header=True)
+    again = readers.read_graph_db(spark, path, "csv", directed=True, nodes_dir="role=nodes", edges_dir="role=edges").stored()
+    found = again.edges
+    for end in ("src", "dst"):
+        found = found.join(again.nodes.select("graph_id", F.col("node_id").alias(end), F.get("labels", F.lit(0)).alias(f"label_{end}")), ["graph_id", end])
+    name = F.regexp_replace("graph_id", "^graph_id=", "").alias("graph_id")
+    return found.groupBy(name, "src", "label_src", "dst", "label_dst", "type").agg(F.count("*").alias("edges"))
+
+
 # --- mining
 
 _BAGS = TRADE + """,

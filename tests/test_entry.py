@@ -20,7 +20,7 @@ def test_entry_works_without_the_corpus_operators(tmp_path):
 
 
 @pytest.mark.skipif(not Path(DATA).is_dir(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["pair_bags", "reify_multiedges", "jaccard_neighbours", "star_match", "cycle_match", "edge_extension_candidates", "two_node_patterns", "mine_maximum_k3"])
+@pytest.mark.parametrize("name", ["pair_bags", "reify_multiedges", "jaccard_neighbours", "star_match", "cycle_match", "edge_extension_candidates", "two_node_patterns", "mine_maximum_k3", "closing_patterns", "canonical_codes", "wrong_embeddings", "csv_round_trip"])
 def test_query_equals_sql(spark, name):
     import duckdb
 

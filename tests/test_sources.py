@@ -14,6 +14,7 @@ from motifspark.plans.mine import mine
 from motifspark.sources import writers
 from motifspark.sources.readers import read_graph_db, read_templates
 
+# Fixed input: the graphs of a toy database whose result is known.
 TEXT = """
 noise before
 t # 0 G1
