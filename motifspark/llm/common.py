@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -44,6 +45,14 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system: workers outlive their tasks, and stages add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | None], schema, rows: int = 10_000) -> DataFrame:
     """mapInArrow of fn over batches of at most `rows` rows; fn returns columns in the order of schema. Sets the session's limit
     of a batch's bytes to BATCH_BYTES unless the user has set one: a worker holds a batch and what fn makes of it."""
@@ -65,7 +74,8 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.
                 if got is not None and got.num_rows:
                     yield got
                 del got
-        pa.default_memory_pool().release_unused()
+            del whole
+            release()
 
     return df.mapInArrow(run, kind)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, broadcast_if_small, by_batch, discard, written
+from .common import binaries, broadcast_if_small, by_batch, discard, release, written
 
 STRING, GRAM = 50, 16
 SPAN = STRING - GRAM + 1
@@ -354,6 +354,7 @@ def _compared(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator
         heads, others = Segments.joined(held).collapsed()
         yield whole(others)
         yield given(*spans_of(heads, chunk))
+    release()
 
 
 def _copies(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -434,6 +435,7 @@ def _shared(rows: DataFrame, hot: HotGrams) -> DataFrame:
                 held.append(parts)
         if held:
             yield done()
+        release()
 
     marks = by_batch(rows.select("doc_id", "rid", "text"), find, "bucket int, h binary, doc_id binary, rid binary", rows=1000)
     dealt = marks.repartition("bucket").sortWithinPartitions("bucket")

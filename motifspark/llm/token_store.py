@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ChunkMemo, broadcast_if_small, by_batch, cuts_at_blanks, shared_folder, shuffles_freed
+from .common import ChunkMemo, broadcast_if_small, by_batch, cuts_at_blanks, release, shared_folder, shuffles_freed
 
 NO_ID = -(1 << 63)
 SHARD_SCHEMA = "part int, shard int, first bigint, last bigint, n_docs int, n_ids bigint, keys binary, payload binary, seeds binary, slots binary"
@@ -327,6 +327,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
                     shard, held, size = shard + 1, [], 0
         if held:
             yield full()
+        release()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
