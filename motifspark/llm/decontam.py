@@ -14,9 +14,10 @@ size are joined with the table of seeds (spread over SALTS copies of it), the ca
 words with the items. Both ways find the same.
 
 Defined cases: null and empty texts and items have no words, and items without words are in no document; an item of up to
-FEWEST words is found only where all of them stand together, a longer one has FEWEST matches more than errors at least; repeated items and documents give their rows each, equal ids or not; of equally
-good places the first is given; empty tables give an empty result; columns of docs other than those named are ignored by
-find_leaks() and kept by drop_leaks(), whatever their names. A task needs some 100 bytes for each word of its longest text.
+FEWEST words is found only where all of them stand together, a longer one has FEWEST matches more than errors at least;
+repeated items and documents give their rows each, equal ids or not; of equally good places the first is given; empty tables
+give an empty result; columns of docs other than those named are ignored by find_leaks() and kept by drop_leaks(), whatever
+their names. A task needs some 100 bytes for each word of its longest text.
 """
 
 from __future__ import annotations

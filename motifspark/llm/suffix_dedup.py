@@ -18,8 +18,8 @@ sample; this decides where strings are compared, never what is found.
 
 Defined cases: a null text is an empty one; documents with a null id come after all others; rows with equal ids are never
 smaller than each other, so they keep what they share; texts shorter than a string keep all; an empty table gives an empty
-result; columns of docs other than the two named are ignored. A task needs about 100 bytes for each byte of its longest text
-or half a MB, whichever is more, as anchors are made for that many strings at a time.
+result; columns of docs other than the two named are ignored. A task needs some 20 bytes for each byte of its longest text and
+50 MB for the anchors of half a million strings, which are made at a time.
 """
 
 from __future__ import annotations
