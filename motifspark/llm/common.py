@@ -53,6 +53,23 @@ def release() -> None:
         trim(0)
 
 
+_tables: dict[str, dict] = {}
+
+
+def table_of(module: str, key, make: Callable):
+    """What a module's batches need again and again in one worker, made once."""
+    own = _tables.setdefault(module, {})
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
+def drop_others(module: str) -> None:
+    """Frees the tables of other modules, as a worker may serve one operator after another."""
+    for name in [n for n in _tables if n != module]:
+        del _tables[name]
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | None], schema, rows: int = 10_000) -> DataFrame:
     """mapInArrow of fn over batches of at most `rows` rows; fn returns columns in the order of schema. Sets the session's limit
     of a batch's bytes to BATCH_BYTES unless the user has set one: a worker holds a batch and what fn makes of it."""
@@ -65,7 +82,10 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
+    module = fn.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(module)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 got = fn(whole.slice(at, rows))

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkMemo, by_batch, cuts_at_blanks, with_fields
+from .common import ChunkMemo, by_batch, cuts_at_blanks, table_of, with_fields
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -152,14 +152,9 @@ class RankBpe:
         return self.decode_batch(pa.array([ids], pa.binary()))[0].as_py()
 
 
-_bpe: dict[tuple, RankBpe] = {}
-
-
 def bpe(path: str, pattern: str) -> RankBpe:
     """One coder for each Python worker."""
-    if (path, pattern) not in _bpe:
-        _bpe[path, pattern] = RankBpe(read_ranks(path), pattern)
-    return _bpe[path, pattern]
+    return table_of(__name__, (path, pattern), lambda: RankBpe(read_ranks(path), pattern))
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:

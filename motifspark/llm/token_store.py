@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ChunkMemo, broadcast_if_small, by_batch, cuts_at_blanks, release, shared_folder, shuffles_freed
+from .common import ChunkMemo, broadcast_if_small, by_batch, cuts_at_blanks, release, shared_folder, shuffles_freed, table_of
 
 NO_ID = -(1 << 63)
 SHARD_SCHEMA = "part int, shard int, first bigint, last bigint, n_docs int, n_ids bigint, keys binary, payload binary, seeds binary, slots binary"
@@ -207,13 +207,8 @@ class LibraryCoder:
         return self.memo.batch(texts) if self.memo else pa.array([x.tobytes() for x in self.ids(texts.to_pylist())], pa.binary())
 
 
-_coders: dict[str, LibraryCoder] = {}
-
-
 def _coder(path: str) -> LibraryCoder:
-    if path not in _coders:
-        _coders[path] = LibraryCoder(path)
-    return _coders[path]
+    return table_of(__name__, path, lambda: LibraryCoder(path))
 
 
 class TokenStore:
