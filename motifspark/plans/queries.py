@@ -242,7 +242,7 @@ def _round_trip(db: GraphDB) -> GraphDB:
     """The database written as text in the shared folder and read again."""
     spark = db.nodes.sparkSession
     path = f"{shared_folder(spark)}/graphs-{uuid.uuid4().hex}.data"
-    writers.graph_text(db).select("value").write.text(path)
+    writers.write_graphs(db, path)
     return readers.read_graph_db(spark, path, directed=True)
 
 

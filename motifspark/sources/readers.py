@@ -8,8 +8,11 @@ else the third; of graphs with one name, and of nodes with one id, the last coun
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,11 +22,12 @@ from ..storage import written
 
 
 def _records(text: DataFrame, multi_row: bool, separator: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of rows (graph_id, lines), lines being the records of one graph."""
-    lines = text.select("graph_id", F.posexplode("lines").alias("pos", "line")).withColumn("tokens", F.filter(F.split(F.trim(F.regexp_replace("line", r"\r$", "")), " "), lambda x: F.trim(x) != ""))
+    """Nodes and edges of rows (graph_id, pos, line), pos being the order of a graph's records."""
+    lines = text.withColumn("tokens", F.filter(F.split(F.trim(F.regexp_replace("line", r"\r$", "")), " "), lambda x: F.trim(x) != ""))
     kind = F.get("tokens", F.lit(0))
+    number = lambda of, k: F.when(kind == of, F.get("tokens", F.lit(k)).cast("bigint"))  # noqa: E731  Spark may cast before it filters
     rest = F.slice("tokens", 3, F.greatest(F.size("tokens") - 2, F.lit(0)))
-    nodes = lines.where(kind == "v").select("graph_id", F.get("tokens", F.lit(1)).cast("bigint").alias("node_id"), "pos", rest.alias("labels"))
+    nodes = lines.where(kind == "v").select("graph_id", number("v", 1).alias("node_id"), "pos", rest.alias("labels"))
     if multi_row:
         nodes = nodes.groupBy("graph_id", "node_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "labels"))), lambda x: x["labels"])).alias("labels"))
     else:
@@ -31,21 +35,60 @@ def _records(text: DataFrame, multi_row: bool, separator: str) -> tuple[DataFram
     if separator != " ":
         nodes = nodes.withColumn("labels", F.flatten(F.transform("labels", lambda x: F.split(x, F.lit("\\Q" + separator + "\\E")))))
     types = F.slice("tokens", 4, F.greatest(F.size("tokens") - 3, F.lit(0)))
-    edges = lines.where(kind == "e").select("graph_id", F.get("tokens", F.lit(1)).cast("bigint").alias("src"), F.get("tokens", F.lit(2)).cast("bigint").alias("dst"), "pos", F.posexplode(F.when(F.size(types) == 0, F.array(F.lit(""))).otherwise(types)).alias("place", "type"))
+    edges = lines.where(kind == "e").select("graph_id", number("e", 1).alias("src"), number("e", 2).alias("dst"), "pos", F.posexplode(F.when(F.size(types) == 0, F.array(F.lit(""))).otherwise(types)).alias("place", "type"))
     return nodes, with_keys(edges, "pos", "place").drop("pos", "place")
 
 
+_LINES = "value string, pos bigint, head bigint, file string, block bigint"
+
+
+def _with_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (value, file, block, id) of the lines of file blocks, in order, as rows of _LINES: pos orders the lines of a file, and
+    head is the id of the last line before or at this one, in its block, that begins a graph. Only lines without one, and those
+    that begin a graph, keep file and block."""
+    place, seen, carried = None, 0, -1
+    for batch in batches:
+        if not (n := batch.num_rows):
+            continue
+        value, file, block, ids = batch.columns
+        at, blocks, ids = np.arange(n), block.to_numpy(), ids.to_numpy()
+        first = np.ones(n, bool)
+        first[0] = place != (file[0].as_py(), blocks[0])
+        first[1:] = (blocks[1:] != blocks[:-1]) | pc.not_equal(file.slice(1), file.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        since = np.maximum.accumulate(np.where(first, at, -1))  # -1: the block goes on from the batch before
+        begins = pc.starts_with(value, "t ").to_numpy(zero_copy_only=False)
+        own = np.maximum.accumulate(np.where(begins, at, -1))
+        head = np.where((own >= 0) & (own >= since), ids[own], np.where(since < 0, carried, -1))
+        index = np.where(since < 0, at + seen, at - since)
+        place, seen, carried = (file[n - 1].as_py(), blocks[-1]), index[-1] + 1, head[-1]
+        named = pa.array(begins | (head < 0))
+        # a block has at most one line more than bytes, so positions of different blocks differ
+        columns = [value, pa.array(2 * blocks + index), pa.array(head, mask=head < 0), pc.if_else(named, file, None), pc.if_else(named, block, None)]
+        yield pa.RecordBatch.from_arrays(columns, names=["value", "pos", "head", "file", "block"])
+
+
+def _graph_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(graph_id, pos, line): the lines of the graphs that count. A line belongs to the last line before it that begins a graph,
+    which may stand in an earlier block of its file: no row and no task holds a whole graph."""
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = written(raw.mapInArrow(_with_heads, _LINES), "text-lines")
+    heads = written(lines.where(F.col("value").startswith("t ")), "text-heads")
+    tokens = F.filter(F.split(F.regexp_replace(F.substring("value", 3, 1 << 30), r"\r$", ""), " "), lambda x: F.trim(x) != "")
+    named = heads.withColumn("t", tokens).where(F.get("t", F.lit(0)) == "#").withColumn("graph_id", F.trim(F.coalesce(F.get("t", F.lit(2)), F.get("t", F.lit(1)))))
+    last = named.withColumn("n", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("file"), F.desc("pos")))).where("n = 1")
+    graphs = written(last.select("head", "graph_id"), "text-graphs")
+    # of lines before the first graph that begins in their block: a row for each block
+    open_ = lines.where("head IS NULL").select("file", "block").distinct()
+    blocks = open_.join(heads.groupBy("file", "block").agg(F.max_by("head", "pos").alias("last")), ["file", "block"], "full")
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = written(blocks.withColumn("before", before).where("before IS NOT NULL").select("file", "block", "before"), "text-blocks")
+    rest = lines.where("head IS NULL").join(blocks, ["file", "block"]).select(F.col("before").alias("head"), "pos", "value")
+    return lines.where("head IS NOT NULL").select("head", "pos", "value").union(rest).join(graphs, "head").select("graph_id", "pos", F.col("value").alias("line"))
+
+
 def read_data(spark: SparkSession, path: str, directed: bool = False, multi_row: bool = False, label_separator: str = " ", multigraph: bool = True) -> GraphDB:
-    """A text database. Each graph becomes one row first, so graphs of one file are read in parallel."""
-    raw = spark.read.option("lineSep", "\nt ").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    raw = raw.withColumn("order", F.monotonically_increasing_id())
-    graphs = raw.select(F.split("value", "\n").alias("lines"), "file", "block", "order")
-    # the first record of a file keeps its "t ", the others have lost it; lines before the first "t " belong to no graph
-    own = F.when(F.get("lines", F.lit(0)).startswith("t "), F.substring(F.get("lines", F.lit(0)), 3, 1 << 30)).otherwise(F.get("lines", F.lit(0)))
-    head = F.filter(F.split(own, " "), lambda x: F.trim(x) != "")
-    named = graphs.withColumn("graph_id", F.trim(F.coalesce(F.get(head, F.lit(2)), F.get(head, F.lit(1))))).where(F.get(head, F.lit(0)) == "#")
-    last = named.withColumn("n", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("file"), F.desc("block"), F.desc("order")))).where("n = 1")
-    nodes, edges = _records(last.select("graph_id", F.slice("lines", 2, 1 << 30).alias("lines")), multi_row, label_separator)
+    """A text database. Files are read in blocks, so a graph may be larger than a task's memory."""
+    nodes, edges = _records(_graph_lines(spark, path), multi_row, label_separator)
     db = graph_db(nodes, edges, directed)
     return db if multigraph else simple(db)
 

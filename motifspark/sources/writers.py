@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..graph import GraphDB
 from ..operators import access
 from ..plans.mine import Mined
-from ..storage import written
+from ..storage import shuffles_freed, written
 
 RULE = "----------"
 
@@ -28,7 +28,8 @@ def pattern_lines(labels: Column, edges: Column) -> Column:
 
 
 def graph_text(db: GraphDB) -> DataFrame:
-    """(graph_id, value): each graph's records, to be written with df.select("value").write.text()."""
+    """(graph_id, value): each graph's records, to be written with df.select("value").write.text(). A graph is one row:
+    write_graphs() is for large ones."""
     v = db.nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node_id", F.rtrim(_joined(F.lit("v"), F.col("node_id").cast("string"), F.array_join("labels", " "))).alias("line")))).alias("v"))
     e = db.edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "key", F.rtrim(_joined(F.lit("e"), F.col("src").cast("string"), F.col("dst").cast("string"), F.col("type"))).alias("line")))).alias("e"))
     head = F.concat(F.lit("t # "), F.col("graph_id"))
@@ -36,6 +37,24 @@ def graph_text(db: GraphDB) -> DataFrame:
     return v.join(e, "graph_id", "left").select("graph_id", F.array_join(lines, "\n").alias("value"))
 
 
+def graph_lines(db: GraphDB) -> DataFrame:
+    """(value): the lines of graph_text(), in order, each record a row of its own. A graph's lines are in one partition, sorted
+    there."""
+    zero = F.lit(0).cast("bigint")
+    line = lambda df, part, a, b, c, *words: df.select("graph_id", F.lit(part).alias("part"), a.alias("a"), b.alias("b"), c.alias("c"), F.rtrim(_joined(*words)).alias("value"))
+    graphs = db.nodes.select("graph_id").union(db.edges.select("graph_id")).distinct()
+    v = line(db.nodes, 1, F.col("node_id"), zero, F.lit(0), F.lit("v"), F.col("node_id").cast("string"), F.array_join("labels", " "))
+    e = line(db.edges, 2, F.col("src"), F.col("dst"), F.col("key"), F.lit("e"), F.col("src").cast("string"), F.col("dst").cast("string"), F.col("type"))
+    rows = line(graphs, 0, zero, zero, F.lit(0), F.lit("t #"), F.col("graph_id")).union(v).union(e)
+    return rows.repartition("graph_id").sortWithinPartitions("graph_id", "part", "a", "b", "c", "value").select("value")
+
+
+def write_graphs(db: GraphDB, path: str) -> None:
+    """graph_lines() as text files at path, to be read with read_data(); a graph is in one file."""
+    with shuffles_freed(db.nodes.sparkSession):
+        graph_lines(db).write.text(path)
+
+
 def frequency_lines(embeddings: DataFrame) -> DataFrame:
     """(pattern_id, info): a line `graph count` for each graph that holds the pattern."""
     n = embeddings.groupBy("pattern_id", "graph_id").count()

@@ -196,3 +196,28 @@ def test_accessors(spark, db):
     assert sorted(r.similarity for r in access.jaccard(db, pairs).collect()) == [0.0, 0.5]
     profile = {r.part: (r.graphs, r.average, r.largest, r.smallest) for r in access.profile(db).collect()}
     assert profile == {"nodes": (3, 4.0, 4, 4), "edges": (3, 4.0, 5, 2)}
+
+
+def test_graphs_larger_than_a_row(spark, folder, tmp_path):
+    """Files are cut within graphs, and no record may be longer than 40 bytes: a graph is never one row."""
+    graphs = {"g0": 60, "g1": 2, "g2": 300, "g3": 1, "old": 40}
+    text = lambda g, n, w: f"t # 7 {g}\n" + "".join(f"v {k} l{k}\n" for k in range(n)) + "".join(f"e {k} {k - 1} {t}\n" for k in range(1, n) for t in (w, "b", "a"))
+    (tmp_path / "many.data").mkdir()
+    (tmp_path / "many.data" / "1.data").write_text("v 0 none\n" + "".join(text(g, n, "x") for g, n in graphs.items()) + "t x\nv 9 none\n")
+    (tmp_path / "many.data" / "2.data").write_text("v 1 none\n" + text("old", 3, "y").replace("\n", "\r\n"))
+    want = {(g, k, k - 1, key, t) for g, n in (graphs | {"old": 3}).items() for k in range(1, n) for key, t in enumerate(("y" if g == "old" else "x", "b", "a"))}
+    conf = {"mapreduce.input.linerecordreader.line.maxlength": "40", "spark.sql.files.maxPartitionBytes": "500b", "spark.sql.files.openCostInBytes": "100b"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        db = read_graph_db(spark, str(tmp_path / "many.data"), directed=True).stored()
+        assert {tuple(r) for r in db.edges.select("graph_id", "src", "dst", "key", "type").collect()} == want
+        assert sorted((r.graph_id, r.node_id, r.labels) for r in db.nodes.collect()) == sorted((g, k, [f"l{k}"]) for g, n in (graphs | {"old": 3}).items() for k in range(n))
+        writers.write_graphs(db, str(tmp_path / "again.data"))
+        again = read_graph_db(spark, str(tmp_path / "again.data"), directed=True)
+        assert sorted(map(str, again.edges.collect())) == sorted(map(str, db.edges.collect()))
+        assert sorted(map(str, again.nodes.collect())) == sorted(map(str, db.nodes.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
