@@ -49,10 +49,14 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         hashes = [digest(b" ".join(words), seed)]
     else:
         hashes = [digest(b" ".join(w), seed) for w in zip(*(words[k:] for k in range(width)), strict=False)]
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are 1 in over half the hashes."""
     ones = np.zeros(64, np.int64)
-    all_hashes = np.array(hashes, "<u8")
     for at in range(0, len(hashes), 1 << 16):  # bounds the memory for very long texts
-        ones += np.unpackbits(all_hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
@@ -123,12 +127,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id, with the columns of docs. Near-duplicates are
-    connected by pairs of Jaccard similarity 0.8 or more over `width`-word shingles, all of which classes() finds; no small
-    Hamming radius covers them, as two such fingerprints differ by about 10 bits and often more. Rows are told apart by id and text; of rows that are equal in both, one stays. Documents without id come after all others."""
+    connected by pairs of Jaccard similarity 0.8 or more over `width`-word shingles. The range join of the fingerprints of the
+    shingles finds pairs first, each then checked exactly; as many such pairs differ by more bits than it reaches, classes()
+    finds those that it leaves unconnected, so none is lost. Rows are told apart by id and text; of rows that are equal in both, one stays. Documents without id come after all others."""
     p = unused(docs)
     name, text = f"{p}key", f"{p}text"
     key = F.struct(F.col(f"`{id_col}`").isNull().alias("n"), F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h"))
-    of, found = classes(docs.select(key.alias(name), F.col(f"`{text_col}`").alias(text)), components, name, text, width)
+    of, found = classes(docs.select(key.alias(name), F.col(f"`{text_col}`").alias(text)), components, name, text, width, (majority, links))
     kept = found.select(F.col("component_id").alias(name)).distinct()
     out = docs.withColumn(name, key).join(kept, name, "left_semi")
     if not of.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows that are equal in id and text

@@ -5,7 +5,8 @@ first n - ceil(4n/5) + 1 of each (n: the set's size), so texts are joined by the
 and by the place of the shared n-gram, and the whole sets then verify each pair. No similar pair is lost, whatever the order;
 an order with the n-grams of many texts last keeps the join small. Equal sets are one node.
 
-Only what connects nodes matters. In a few turns, each node is first compared with a few nodes of other components that share
+Only what connects nodes matters. Where the caller has fingerprints and a join of those that are near (simhash.links), its
+pairs are compared first. In a few turns, each node is first compared with a few nodes of other components that share
 an n-gram with it; all pairs of nodes that this has not connected yet are made and compared then, so a group of near copies
 costs about as much as its texts are long, and no similar pair is lost. Before sets are moved to be compared, the Manhattan
 distance of their counts in segments of the hashes rules out most pairs that aren't similar.
@@ -85,27 +86,29 @@ def frequent(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np
     return grams[by], (len(grams) - np.arange(len(grams)))[by]
 
 
-def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, node, n, prefix, counts): each text's set by name, its size, its first n-grams in the order, 8 bytes each, and how
-    many of its n-grams lie in each of SEGMENTS segments of the hashes (255 at most)."""
+def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, order: tuple[np.ndarray, np.ndarray], mark: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """(doc_id, node, n, prefix, counts, fp): each text's set by name, its size, its first n-grams in the order, 8 bytes each, how
+    many of its n-grams lie in each of SEGMENTS segments of the hashes (255 at most), and the set's fingerprint by mark."""
     known, ranks = order
     memo: dict[bytes, int] = {}
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        nodes, sizes, firsts, counts = [], [], [], []
+        nodes, sizes, firsts, counts, marks = [], [], [], [], []
         for t in batch.column(1).to_pylist():
             grams = gram_set(t, width, _memo_of(memo))
             n = len(grams)
             counts.append(np.minimum(np.bincount((grams >> np.uint64(64 - SEGMENTS.bit_length() + 1)).astype(np.int64), minlength=SEGMENTS), 255).astype(np.uint8).tobytes())
             nodes.append(_node(grams))
             sizes.append(n)
+            fp = mark(grams) if mark else 0
+            marks.append(fp - (1 << 64) if fp >> 63 else fp)
             if n and len(known):
                 at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
                 grams = grams[np.argsort(np.where(known[at] == grams, ranks[at], 0), kind="stable")]
             firsts.append(grams[: n - (UP * n + DOWN - 1) // DOWN + 1].tobytes())
-        return {"doc_id": batch.column(0), "node": nodes, "n": sizes, "prefix": firsts, "counts": counts}
+        return {"doc_id": batch.column(0), "node": nodes, "n": sizes, "prefix": firsts, "counts": counts, "fp": marks}
 
-    return by_batch(docs.select(id_col, text_col), run, with_fields(docs.select(F.col(id_col).alias("doc_id")), "node bigint, n bigint, prefix binary, counts binary"))
+    return by_batch(docs.select(id_col, text_col), run, with_fields(docs.select(F.col(id_col).alias("doc_id")), "node bigint, n bigint, prefix binary, counts binary, fp bigint"))
 
 
 def shared_grams(first: DataFrame) -> DataFrame:
@@ -223,6 +226,26 @@ def hub_pairs(rooted: DataFrame, turn: int) -> DataFrame:
     return some.select("a", "b")
 
 
+def near_prints(named: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are near: the smallest node of each fingerprint with that of each near one, and
+    with the other nodes of its own."""
+    firsts = written(named.groupBy("fp").agg(F.min("node").alias("least")), "print-firsts")
+    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}"))
+    apart = written(near(firsts.select("fp")).distinct(), "print-links")
+    apart = apart.join(side("a"), "a").join(side("b"), "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return apart.union(named.join(firsts, "fp").where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")))
+
+
+def unconnected(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) of nodes of different components."""
+    if roots is None:
+        return pairs
+    for c in "ab":
+        own = roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        pairs = pairs.join(broadcast_if_small(own, 200_000), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+    return pairs.where("root_a <> root_b").select("a", "b")
+
+
 def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar. named: (node, doc_id, n, counts), a document of each node. The Manhattan
     distance of two nodes' segment counts is a lower bound of the n-grams that only one of them has; pairs within the bound are
@@ -263,20 +286,29 @@ def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, id_col: str, t
     return links
 
 
-def classes(docs: DataFrame, components: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of each document and (node, component_id) of each node: the smallest doc_id reachable over similar pairs."""
-    first = written(prefixes(docs, id_col, text_col, width, frequent(docs, text_col, width)), "gram-prefixes")
-    named = written(first.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs"), F.first("n").alias("n"), F.first("counts").alias("counts")), "gram-nodes")
+def classes(docs: DataFrame, components: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", width: int = 5, prints: tuple[Callable[[np.ndarray], int], Callable[[DataFrame], DataFrame]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of each document and (node, component_id) of each node: the smallest doc_id reachable over similar pairs.
+    prints: what makes a fingerprint of a set's hashes, and pairs (a, b) of a table's near ones (fp), which are compared first."""
+    mark, near = prints or (None, None)
+    first = written(prefixes(docs, id_col, text_col, width, frequent(docs, text_col, width), mark), "gram-prefixes")
+    nodes = written(first.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fp").alias("fp")), "gram-nodes")
+    named = nodes
     # one text of each node goes on, but for texts equal in id and set
     copies = first.select("node", "doc_id").join(broadcast_if_small(named.where("docs > 1").select("node", F.col("doc_id").alias("least")), 200_000), "node").where(~F.col("doc_id").eqNullSafe(F.col("least")))
     copies = written(copies.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id")).distinct(), "gram-copies")
     single = first.join(broadcast_if_small(copies, 200_000), (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
     shared = shared_grams(single)
     rows = shared.where("NOT star").drop("star")
-    named, made = written(named.drop("docs"), "gram-named"), (docs, id_col, text_col, width)
+    of = written(first.select("doc_id", "node"), "gram-of")
+    discard(first, copies)
+    named, made = nodes.drop("docs"), (docs, id_col, text_col, width)
     links, roots = None, None
+    if near:
+        links = verified(near_prints(named, near), named.drop("fp"), *made)
+        roots = rooted_nodes(links, components)
+    named = named.drop("fp")
     for turn in range(TURNS):
-        tried = hub_pairs(with_roots(rows, roots), turn) if turn else shared.where("star").select(F.col("gram").alias("a"), F.col("node").alias("b"))
+        tried = hub_pairs(with_roots(rows, roots), turn) if turn else unconnected(shared.where("star").select(F.col("gram").alias("a"), F.col("node").alias("b")), roots)
         found = verified(tried, named, *made)
         if found.isEmpty():
             break
@@ -294,7 +326,8 @@ def classes(docs: DataFrame, components: Callable[[DataFrame], DataFrame], id_co
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"]).select("node", "component_id")
     named = written(named.join(joined, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "similar-found")
-    return first.select("doc_id", "node"), named
+    discard(nodes)
+    return of, named
 
 
 def similar(docs: DataFrame, components: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:

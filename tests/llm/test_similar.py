@@ -53,3 +53,24 @@ def test_columns_named_like_the_working_ones(spark):
     rows = [(k, text, "en", "a", 0, 7, "x", k, 1) for k, text in enumerate(["a b c d e f g", "a b c d e f g", "h i j k l m", None, ""])]
     docs = spark.createDataFrame(rows, SCHEMA + ", __key int, __text string, __needed int, component_id int")
     assert sorted(map(tuple, simhash.keep_first(docs).collect())) == [rows[0], rows[2], rows[3]]
+
+
+def test_fingerprints_connect_near_copies_first(spark, monkeypatch):
+    """The stage compares the pairs of the range join of fingerprints before any others, and loses none that are farther apart."""
+    r = random.Random(17)
+    base = [f"w{r.randrange(3000)}" for _ in range(2000)]
+    texts = [" ".join(base), edited(r, base, 1), edited(r, base, 40)] + [" ".join(f"w{r.randrange(3000)}" for _ in range(80)) for _ in range(5)]
+    prints = [simhash.majority(similar.gram_set(t, 5, {})) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.NEAR < (prints[0] ^ prints[2]).bit_count()
+    seen, verified = [], similar.verified
+
+    def spy(pairs, named, *rest):
+        found = verified(pairs, named, *rest)
+        ids = {x.node: x.doc_id.i for x in named.collect()}
+        seen.append({frozenset((ids[x.a], ids[x.b])) for x in found.collect()})
+        return found
+
+    monkeypatch.setattr(similar, "verified", spy)
+    docs = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(texts)], SCHEMA)
+    kept = sorted(x.doc_id for x in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect())
+    assert seen[0] == {frozenset((0, 1))} and kept == [0, 3, 4, 5, 6, 7]
