@@ -33,8 +33,8 @@ from .common import binaries, broadcast_if_small, by_batch, discard, release, un
 UP, DOWN, FREQUENT = 4, 5, 200_000
 #: Turns of comparisons that connect most similar nodes, comparisons of a node in each, and parts that hot keys are split into.
 TURNS, TRIES, SALTS, MANY = 4, 4, 8, 32
-#: Segments of the n-grams' hashes, a power of two.
-SEGMENTS = 64
+#: Segments of the n-grams' hashes, a power of two, doubled for sets of more than FILL n-grams a segment.
+SEGMENTS, FILL = 64, 12
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -69,6 +69,25 @@ def _node(grams: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def segment_counts(grams: np.ndarray) -> bytes:
+    """How many of a set's n-grams lie in each segment of the hashes, a byte each (255 at most)."""
+    n = SEGMENTS
+    while n * FILL < len(grams):
+        n *= 2
+    return np.minimum(np.bincount((grams >> np.uint64(65 - n.bit_length())).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """The Manhattan distances of segment_counts(), over the segments of the one of each two that has fewer."""
+    sizes = np.array([[len(a), len(b)] for a, b in zip(x, y, strict=True)]).reshape(-1, 2)
+    out = np.zeros(len(sizes), np.int64)
+    for n, m in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes[:, 0] == n) & (sizes[:, 1] == m))
+        a, b = (np.frombuffer(b"".join(z[k] for k in at), np.uint8).reshape(len(at), min(n, m), -1).sum(2, dtype=np.int64) for z in (x, y))
+        out[at] = np.abs(a - b).sum(1)
+    return out
+
+
 def frequent(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of n-grams that many sets hold, and their rank from the rarest on: at most FREQUENT."""
     memo: dict[bytes, int] = {}
@@ -87,8 +106,8 @@ def frequent(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, order: tuple[np.ndarray, np.ndarray], mark: Callable[[np.ndarray], int] | None = None) -> DataFrame:
-    """(doc_id, node, n, prefix, counts, fp): each text's set by name, its size, its first n-grams in the order, 8 bytes each, how
-    many of its n-grams lie in each of SEGMENTS segments of the hashes (255 at most), and the set's fingerprint by mark."""
+    """(doc_id, node, n, prefix, counts, fp): each text's set by name, its size, its first n-grams in the order, 8 bytes each, its
+    segment_counts() and its fingerprint by mark."""
     known, ranks = order
     memo: dict[bytes, int] = {}
 
@@ -97,7 +116,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, order: tup
         for t in batch.column(1).to_pylist():
             grams = gram_set(t, width, _memo_of(memo))
             n = len(grams)
-            counts.append(np.minimum(np.bincount((grams >> np.uint64(64 - SEGMENTS.bit_length() + 1)).astype(np.int64), minlength=SEGMENTS), 255).astype(np.uint8).tobytes())
+            counts.append(segment_counts(grams))
             nodes.append(_node(grams))
             sizes.append(n)
             fp = mark(grams) if mark else 0
@@ -252,10 +271,9 @@ def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, id_col: str, t
     verified exactly. Sets are made again, for the nodes in pairs: cheaper than to keep those of all texts."""
 
     def within(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for c in (4, 5))
-        apart = np.abs(x - y).sum(1, dtype=np.int64)
+        far = apart(batch.column(4).to_pylist(), batch.column(5).to_pylist())
         # similar sets have at most this share of both in one of them only
-        return batch.select([0, 1]).filter(pa.array(apart * (UP + DOWN) <= (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (DOWN - UP)))
+        return batch.select([0, 1]).filter(pa.array(far * (UP + DOWN) <= (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (DOWN - UP)))
 
     side = lambda c: named.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
     bounded = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from motifspark.llm import similar, simhash
 from tests.llm.test_corpus import SCHEMA, closed
@@ -74,3 +76,17 @@ def test_fingerprints_connect_near_copies_first(spark, monkeypatch):
     docs = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(texts)], SCHEMA)
     kept = sorted(x.doc_id for x in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect())
     assert seen[0] == {frozenset((0, 1))} and kept == [0, 3, 4, 5, 6, 7]
+
+
+def test_bound_holds_for_sets_of_all_sizes():
+    """Long sets have more segments: unrelated ones are told apart by the bound, and it never exceeds the distance."""
+    r = np.random.default_rng(5)
+    fresh = lambda n: np.unique(r.integers(0, 1 << 64, n, np.uint64))
+    sets = [fresh(n) for n in (0, 1, 30, 700, 760, 800, 1500, 1600, 5000, 5100, 40000)]
+    sets += [np.unique(np.concatenate([x[len(x) // 9 :], fresh(len(x) // 9)])) for x in sets]
+    counts = [similar.segment_counts(x) for x in sets]
+    for x, a in zip(sets, counts, strict=True):
+        for y, b, far in zip(sets, counts, similar.apart([a] * len(sets), counts), strict=True):
+            true, both = len(np.setxor1d(x, y)), len(x) + len(y)
+            assert far <= true
+            assert 9 * far > both or 2 * true < both or min(len(x), len(y)) < 700
