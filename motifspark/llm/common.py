@@ -70,8 +70,22 @@ def drop_others(module: str) -> None:
         del _tables[name]
 
 
-def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | None], schema, rows: int = 10_000) -> DataFrame:
-    """mapInArrow of fn over batches of at most `rows` rows; fn returns columns in the order of schema. Sets the session's limit
+def slices(batch: pa.RecordBatch, rows: int, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """batch in parts of at most `rows` rows, whose texts have at most `size` bytes in all unless one row has more."""
+    if size is None or batch.nbytes <= size:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+        return
+    texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+    upto = np.cumsum(sum((pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts), np.zeros(batch.num_rows, np.int64)))
+    at = done = 0
+    while at < batch.num_rows:
+        end = min(max(int(np.searchsorted(upto, done + size, side="right")), at + 1), at + rows)
+        yield batch.slice(at, end - at)
+        at, done = end, upto[end - 1]
+
+
+def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | None], schema, rows: int = 10_000, size: int | None = None) -> DataFrame:
+    """mapInArrow of fn over the slices() of batches; fn returns columns in the order of schema. Sets the session's limit
     of a batch's bytes to BATCH_BYTES unless the user has set one: a worker holds a batch and what fn makes of it."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -87,13 +101,13 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_others(module)
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                got = fn(whole.slice(at, rows))
+            for part in slices(whole, rows, size):
+                got = fn(part)
                 if isinstance(got, dict):
                     got = pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(got.values(), arrow, strict=True)], schema=arrow)
                 if got is not None and got.num_rows:
                     yield got
-                del got
+                del got, part
             del whole
             release()
 

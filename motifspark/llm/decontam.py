@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, by_batch, unused, with_fields, written
+from .common import broadcast_if_small, by_batch, table_of, unused, with_fields, written
 
 WORD = re.compile(r"\w+")
 #: Scripts without spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
@@ -175,15 +175,13 @@ def _small(items: DataFrame, id_col: str, text_col: str, score: float, limit: in
     return items.sparkSession.sparkContext.broadcast(([r.id for r in rows], [words_of(r.text) for r in rows], score))
 
 
-_matchers: dict[int, Matcher] = {}
-
-
 def _matcher(shared) -> Matcher:
-    """One matcher for each broadcast and Python worker."""
-    if shared.value is not None and id(shared.value) not in _matchers:
-        _matchers.clear()
-        _matchers[id(shared.value)] = Matcher(shared.value[1], shared.value[2])
-    return _matchers[id(shared.value)]
+    """One matcher for each broadcast and Python worker, until the worker serves another operator."""
+    own = table_of(__name__, "matchers", dict)
+    if shared.value is not None and id(shared.value) not in own:
+        own.clear()
+        own[id(shared.value)] = Matcher(shared.value[1], shared.value[2])
+    return own[id(shared.value)]
 
 
 def _joined(docs: DataFrame, items: DataFrame, text_col: str, item_id_col: str, item_text_col: str, score: float) -> DataFrame:

@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import ChunkMemo, by_batch, cuts_at_blanks, table_of, with_fields
 
+#: Bytes of texts that are encoded at once; what a worker holds beside its tables is a multiple of it.
+SLICE = 2 << 20
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -166,7 +169,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
         ids = coder.encode_batch(batch.column(1).fill_null(""))
         return {"doc_id": batch.column(0), "ids": ids} | ({"text_bytes": coder.decode_batch(ids)} if decoded else {})
 
-    return by_batch(docs.select(id_col, text_col), run, with_fields(docs.select(F.col(id_col).alias("doc_id")), "ids binary, text_bytes binary" if decoded else "ids binary"))
+    return by_batch(docs.select(id_col, text_col), run, with_fields(docs.select(F.col(id_col).alias("doc_id")), "ids binary, text_bytes binary" if decoded else "ids binary"), size=SLICE)
 
 
 def decode_ids(coded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
